@@ -82,6 +82,7 @@ class RollLayout:
     full_id: str
     split_id: str
     section: str
+    id_start: str
     cover_fields: tuple[CoverField, ...] = field(default_factory=tuple)
     min_age: int = -1
     max_age: int = 130
@@ -98,6 +99,7 @@ LEGACY_2002 = RollLayout(
     full_id=FULL_ID,
     split_id=_w(SPLIT_ID),
     section=_w(SECTION),
+    id_start="MT/",
     cover_fields=tuple(
         CoverField(n, _w(p).replace("{ÉkÉÉ", "\\{ÉkÉÉ").replace("iÉ{É", "iÉ\\{É").replace("õ{É", "õ\\{É"), g, k, pre)
         for n, p, g, k, pre in COVER_FIELDS

@@ -8,7 +8,7 @@ from rollweave.functions.layout import (
     ADDRESS_NOISE, AREA_BLOCK, AREA_KINDS, COUNTS_FIVE_RE, COUNTS_THREE_RE, DATE, LEGACY_2002,
     MAX_AC_NUMBER, MIN_TOTAL, PINCODE, RollLayout,
 )
-from rollweave.functions.text import WS, blank_to_null, squeeze, strip
+from rollweave.functions.text import blank_to_null, squeeze, strip
 from rollweave.operators.lines import decode_bold
 
 COUNT_FIELDS = ("serial_start", "serial_end", "male_voters", "female_voters", "total_voters")
@@ -39,7 +39,7 @@ def _first_counts(text: Column, pattern: str, width: int) -> Column:
     """First number group on a page that adds up, as a struct of the five count fields."""
     rows = F.transform(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda m: F.split(m, WS + "+").cast("array<int>"),
+        lambda m: F.regexp_extract_all(m, F.lit("\\d+"), F.lit(0)).cast("array<int>"),
     )
     male, female, total = width - 3, width - 2, width - 1
 

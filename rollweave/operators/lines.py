@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollweave.functions.layout import LEGACY_2002, RollLayout
-from rollweave.functions.text import blank_to_null, strip
+from rollweave.functions.text import NON_WS, blank_to_null, strip
 
 BOLD = r"([^\n])\1{3}"
 # Pages of one document that are ordered together; a document of any length is spread
@@ -48,44 +48,25 @@ def page_lines(pages: DataFrame) -> DataFrame:
     )
 
 
-def _record(line: Column, layout: RollLayout) -> dict[str, Column]:
-    """Record fields of one line. The anchor always runs to the end of a stripped line, so
-    its start is the line length less the match length; the two matches may overlap."""
-    anchor = F.regexp_extract(line, layout.anchor, 0)
-    head = F.regexp_extract(line, layout.head, 0)
-    gap = F.greatest(F.length(line) - F.length(anchor) - F.length(head), F.lit(0))
-    middle = strip(F.substring(line, F.length(head) + 1, gap))
-    mark = F.regexp_extract(middle, layout.relation, 0)
-    at = F.regexp_instr(middle, F.lit(layout.relation))
-    kinds = F.create_map(*[F.lit(v) for p in layout.relations.items() for v in p])
-    genders = F.create_map(*[F.lit(v) for p in layout.genders.items() for v in p])
-    split_mark = mark != ""
-    years = F.regexp_extract(line, layout.anchor, 2).cast("int")
-    age = F.when(years.between(layout.min_age, layout.max_age), years)
-    return {
-        "serial_number": F.regexp_extract(line, layout.head, 1).cast("int"),
-        "house_number": F.regexp_extract(line, layout.head, 2),
-        "voter_name": F.when(split_mark, strip(F.substring(middle, F.lit(1), at - 1))).otherwise(middle),
-        "relation_type": F.when(
-            split_mark, F.element_at(kinds, F.regexp_extract(middle, layout.relation, 1))
-        ).otherwise("unknown"),
-        "relative_name": F.when(
-            split_mark, strip(F.substring(middle, at + F.length(mark), F.length(middle)))
-        ).otherwise(""),
-        "gender": F.element_at(genders, F.regexp_extract(line, layout.anchor, 1)),
-        "age": age,
-        "epic_number": repair_id(anchor, layout),
-    }
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    cases = F.lit(None).cast("string")
+    for k, v in table.items():
+        cases = F.when(key == k, v).otherwise(cases)
+    return cases
 
 
 def repair_id(tail: Column, layout: RollLayout = LEGACY_2002) -> Column:
     """The full identifier in a line tail, or one joined from two parts and zero-filled to
     seven digits (eight digits are kept), or the empty string."""
-    full = F.regexp_extract(tail, layout.full_id, 0)
     broken = [F.regexp_extract(tail, layout.split_id, i) for i in (1, 2, 3)]
     digits = F.concat(broken[1], broken[2])
     padded = F.when(F.length(digits) < 7, F.lpad(digits, 7, "0")).otherwise(digits)
-    return F.when(full != "", full).when(broken[0] != "", F.concat(broken[0], padded)).otherwise("")
+    return (
+        F.when(~tail.contains(layout.id_start), "")
+        .when(tail.rlike(layout.full_id), F.regexp_extract(tail, layout.full_id, 0))
+        .when(tail.rlike(layout.split_id), F.concat(broken[0], padded))
+        .otherwise("")
+    )
 
 
 def quality_flags(name: Column, age: Column, layout: RollLayout = LEGACY_2002) -> Column:
@@ -101,14 +82,47 @@ def quality_flags(name: Column, age: Column, layout: RollLayout = LEGACY_2002) -
 
 
 def is_record(line: Column, layout: RollLayout = LEGACY_2002) -> Column:
-    return line.rlike(layout.anchor) & line.rlike(layout.head)
+    return line.rlike(layout.head) & line.rlike(layout.anchor)
 
 
 def extract_records(lines: DataFrame, layout: RollLayout = LEGACY_2002) -> DataFrame:
-    """Lines that are records, with their typed fields and quality flags. No shuffle."""
-    kept = lines.where(is_record(F.col("line"), layout))
-    out = kept.withColumns(_record(F.col("line"), layout))
-    return out.withColumn("data_quality", quality_flags(F.col("voter_name"), F.col("age"), layout))
+    """Lines that are records, with their typed fields and quality flags. No shuffle.
+
+    The anchor always runs to the end of a stripped line, so it starts at the line length
+    less the match length, and the middle lies between it and the head; the two may overlap.
+    The steps are separate projections so that no pattern is matched twice.
+    """
+    c = F.col
+    kept = lines.where(is_record(c("line"), layout))
+    ends = kept.withColumns({
+        "_head": F.regexp_extract("line", layout.head, 0),
+        "_tail": F.regexp_extract("line", layout.anchor, 0),
+    })
+    gap = F.greatest(F.length("line") - F.length("_tail") - F.length("_head"), F.lit(0))
+    parts = ends.withColumns({
+        "_middle": strip(F.substring(c("line"), F.length("_head") + 1, gap)),
+        # Cut by a cached pattern: split() would compile a class anew for every row.
+        "_first": F.regexp_extract_all("_head", F.lit(NON_WS + "+"), F.lit(0)),
+        "_last": F.regexp_extract_all("_tail", F.lit(NON_WS + "+"), F.lit(0)),
+    })
+    marked = parts.withColumn("_mark", F.regexp_extract("_middle", layout.relation, 0))
+    middle, mark = c("_middle"), c("_mark")
+    # The leftmost match is also the first place its text occurs.
+    at = F.position(mark, middle)
+    years = F.get("_last", F.lit(1)).cast("int")
+    out = marked.withColumns({
+        "serial_number": F.get("_first", F.lit(0)).cast("int"),
+        "house_number": F.get("_first", F.lit(1)),
+        "voter_name": F.when(mark == "", middle).otherwise(strip(F.substring(middle, F.lit(1), at - 1))),
+        "relation_type": F.when(mark == "", "unknown").otherwise(_lookup(layout.relations, strip(mark))),
+        "relative_name": F.when(mark == "", "").otherwise(
+            strip(F.substring(middle, at + F.length(mark), F.length(middle)))
+        ),
+        "gender": _lookup(layout.genders, F.get("_last", F.lit(0))),
+        "age": F.when(years.between(layout.min_age, layout.max_age), years),
+        "epic_number": repair_id(c("_tail"), layout),
+    }).drop("_head", "_tail", "_middle", "_first", "_last", "_mark")
+    return out.withColumn("data_quality", quality_flags(c("voter_name"), c("age"), layout))
 
 
 def _is_section(line: Column, layout: RollLayout) -> Column:

@@ -81,10 +81,9 @@ def fuzzy_search(
     check_search(query, limit, threshold)
     grams = trigrams(normalize_name(F.lit(query)))
     stored = F.col("name_trigrams") if "name_trigrams" in voters.columns else trigrams(F.col("name_normalized"))
-    scored = scoped_records(voters, acs, stations, state_id, ac_number).withColumn(
-        "score", gram_similarity(stored, grams)
-    )
-    top = scored.where(at_least(F.col("score"), threshold)).orderBy(
+    scoped = scoped_records(voters, acs, stations, state_id, ac_number).withColumn("_grams", stored)
+    scored = keep_scores(scoped, gram_similarity(F.col("_grams"), grams), threshold)
+    top = scored.orderBy(
         F.col("score").desc(), F.col("serial_number").asc_nulls_last(), "voter_record_id"
     ).limit(limit)
     columns = [
@@ -100,6 +99,13 @@ def with_trigrams(voters: DataFrame) -> DataFrame:
     return voters.withColumn("name_trigrams", trigrams(F.col("name_normalized")))
 
 
+def keep_scores(df: DataFrame, score: Column, threshold: float) -> DataFrame:
+    """Rows with their ``score`` where it reaches the threshold. A filter on the score would
+    be pushed below its projection and work it out twice; a generator is not."""
+    kept = F.filter(F.array(score), lambda s: at_least(s, threshold))
+    return df.select("*", F.explode(kept).alias("score"))
+
+
 # Room for the rounding of 4-byte scores, relative to a set's size.
 _SLACK = 1.0 - 1e-6
 
@@ -156,8 +162,8 @@ def similar_names(
         q_posts.join(n_posts, [*scope, "gram", "salt"]).where(fits)
         .select(*scope, "query", "name").distinct()
     )
-    score = gram_similarity(trigrams(F.col("query")), trigrams(F.col("name")))
-    return pairs.withColumn("score", score).where(at_least(F.col("score"), threshold))
+    cut = pairs.withColumns({"_q": trigrams(F.col("query")), "_n": trigrams(F.col("name"))})
+    return keep_scores(cut, gram_similarity(F.col("_q"), F.col("_n")), threshold).drop("_q", "_n")
 
 
 def fuzzy_search_batch(

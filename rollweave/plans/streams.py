@@ -1,2 +1,5 @@
+"""Rate-limit decisions and streaming loads."""
+
+
 def register(catalog):
     pass

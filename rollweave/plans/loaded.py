@@ -58,8 +58,8 @@ ROLL_COUNTS = """count(DISTINCT sd.source_document_id) AS source_documents, coun
 
 # Registry rows of the readiness reports, one per region key; S4 is not registered.
 STATES = (
-    "SELECT concat('S', r_regionkey) AS state_id, CASE WHEN r_regionkey % 2 = 0 THEN 'official' ELSE 'reported' END AS confidence, "
-    "r_regionkey % 3 <> 1 AS public_launch_ready, concat('capability ', r_name) AS data_capability, concat('parser ', r_name) AS parser_status FROM region WHERE r_regionkey < 4"
+    "SELECT CASE WHEN r_regionkey = 4 THEN 'ZZ' ELSE concat('S', r_regionkey) END AS state_id, CASE WHEN r_regionkey % 2 = 0 THEN 'official' ELSE 'reported' END AS confidence, "
+    "r_regionkey % 3 <> 1 AS public_launch_ready, concat('capability ', r_name) AS data_capability, concat('parser ', r_name) AS parser_status FROM region"
 )
 
 
@@ -193,37 +193,38 @@ def register(catalog: Catalog) -> None:
         (v,) = tables(spark, folder, "voter_records")
         return upsert.key_violations(v, ["ac_id", "serial_number"])
 
-    target = "SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS created_at FROM orders"
-    update = "SELECT l_orderkey AS k, l_linestatus AS status, l_extendedprice AS price, l_shipdate AS created_at, l_partkey, l_linenumber FROM lineitem WHERE l_quantity < 20"
+    # Lines of other orders get keys the target lacks.
+    new_key = "l_orderkey + (CASE WHEN l_linenumber > 5 THEN 10000000 ELSE 0 END)"
 
     @catalog.add("upsert_merge", f"""
-        WITH t AS (SELECT * FROM ({target}) WHERE k % 3 <> 0), u0 AS ({update}),
+        WITH t AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS created_at FROM orders),
+        u0 AS (SELECT {new_key} AS k, l_linestatus AS status, l_extendedprice AS price, l_shipdate AS created_at FROM lineitem),
         u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY created_at DESC, price DESC, status DESC) AS rn FROM u0) WHERE rn = 1)
         SELECT coalesce(t.k, u.k) AS k, CASE WHEN u.k IS NOT NULL THEN u.status ELSE t.status END AS status,
                CASE WHEN u.k IS NOT NULL THEN u.price ELSE t.price END AS price, CASE WHEN t.k IS NOT NULL THEN t.created_at ELSE u.created_at END AS created_at
         FROM t FULL OUTER JOIN u ON t.k = u.k""")
     def upsert_merge(spark, folder):
-        t = table(spark, folder, "orders").selectExpr("o_orderkey AS k", "o_orderstatus AS status", "o_totalprice AS price", "o_orderdate AS created_at").where("k % 3 <> 0")
-        u = table(spark, folder, "lineitem").where("l_quantity < 20").selectExpr("l_orderkey AS k", "l_linestatus AS status", "l_extendedprice AS price", "l_shipdate AS created_at")
+        t = table(spark, folder, "orders").selectExpr("o_orderkey AS k", "o_orderstatus AS status", "o_totalprice AS price", "o_orderdate AS created_at")
+        u = table(spark, folder, "lineitem").selectExpr(f"{new_key} AS k", "l_linestatus AS status", "l_extendedprice AS price", "l_shipdate AS created_at")
         newest = upsert.latest(u.select("k", "created_at", "price", "status"), ["k"], F.col("created_at"))
         return upsert.merge_rows(t, newest, ["k"])
 
     @catalog.add("seed_states", """
-        WITH t AS (SELECT concat('ST-', s_suppkey) AS state_id, 'old' AS name, 'en' AS default_language FROM supplier WHERE s_suppkey % 2 = 0),
-        r AS (SELECT concat('ST-', c_custkey) AS state_id, c_name AS name, c_mktsegment AS default_language FROM customer WHERE c_custkey % 3 = 0)
+        WITH t AS (SELECT concat('ST-', s_suppkey * 20) AS state_id, 'old' AS name, 'en' AS default_language FROM supplier),
+        r AS (SELECT concat('ST-', c_custkey) AS state_id, c_name AS name, c_mktsegment AS default_language FROM customer)
         SELECT coalesce(t.state_id, r.state_id) AS state_id, coalesce(r.name, t.name) AS name, coalesce(r.default_language, t.default_language) AS default_language
         FROM t FULL OUTER JOIN r ON t.state_id = r.state_id""")
     def seed_states(spark, folder):
         fixed = ["'E1' AS eci_state_code", "'guidance_only' AS data_capability", "false AS public_launch_ready"]
-        t = table(spark, folder, "supplier").where("s_suppkey % 2 = 0").selectExpr("concat('ST-', s_suppkey) AS state_id", "'old' AS name", "'en' AS default_language", *fixed)
-        r = table(spark, folder, "customer").where("c_custkey % 3 = 0").selectExpr("concat('ST-', c_custkey) AS state_id", "c_name AS name", "c_mktsegment AS default_language", *fixed)
+        t = table(spark, folder, "supplier").selectExpr("concat('ST-', s_suppkey * 20) AS state_id", "'old' AS name", "'en' AS default_language", *fixed)
+        r = table(spark, folder, "customer").selectExpr("concat('ST-', c_custkey) AS state_id", "c_name AS name", "c_mktsegment AS default_language", *fixed)
         return upsert.seed_states(t, r).select("state_id", "name", "default_language")
 
     @catalog.add("manifest_append", """
-        SELECT p_partkey % 700 AS source_id, p_name AS source_label, 'kept' AS outcome FROM part WHERE p_partkey < 700
-        UNION ALL SELECT c_custkey, c_name, CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_partkey < 700 AND p_partkey % 700 = c_custkey) THEN 'rejected' ELSE 'added' END FROM customer""")
+        SELECT p_partkey * 2 AS source_id, p_name AS source_label, 'kept' AS outcome FROM part
+        UNION ALL SELECT c_custkey, c_name, CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_partkey * 2 = c_custkey) THEN 'rejected' ELSE 'added' END FROM customer""")
     def manifest_append(spark, folder):
-        old = table(spark, folder, "part").where("p_partkey < 700").selectExpr("p_partkey % 700 AS source_id", "p_name AS source_label", "'kept' AS outcome")
+        old = table(spark, folder, "part").selectExpr("p_partkey * 2 AS source_id", "p_name AS source_label", "'kept' AS outcome")
         new = table(spark, folder, "customer").selectExpr("c_custkey AS source_id", "c_name AS source_label", "'added' AS outcome")
         merged, rejected = upsert.append_new(old, new, "source_id")
         return merged.unionByName(rejected.drop("error").withColumn("outcome", F.lit("rejected")))

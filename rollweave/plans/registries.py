@@ -28,10 +28,10 @@ MANIFEST = {
 MANIFEST_SQL = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in MANIFEST.items()) + " FROM part"
 # A file for most paths; some differ from the manifest.
 FILES = {
-    "path": "concat('data/', p_partkey, '.pdf')",
+    "path": "concat(CASE WHEN p_partkey % 29 = 0 THEN 'gone/' ELSE 'data/' END, p_partkey, '.pdf')",
     "checksum": f"concat('sha256:', CASE WHEN p_partkey % 5 = 0 THEN repeat('f', 64) ELSE {_HEX} END)",
 }
-FILES_SQL = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in FILES.items()) + " FROM part WHERE p_partkey % 29 <> 0"
+FILES_SQL = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in FILES.items()) + " FROM part"
 
 
 def _select(df, spec: dict[str, str]):
@@ -43,7 +43,7 @@ def manifest_rows(spark, folder):
 
 
 def file_rows(spark, folder):
-    return _select(table(spark, folder, "part").where("p_partkey % 29 <> 0"), FILES)
+    return _select(table(spark, folder, "part"), FILES)
 
 
 def _list(*cases: tuple[str, str]) -> str:
@@ -153,9 +153,9 @@ def request_rows(spark, folder):
     return _select(table(spark, folder, "customer"), REQUEST)
 
 
-# A forms catalogue made of four parts and their types.
-FORM_IDS = {0: "enumeration_form", 1: "form_6", 2: "form_7", 3: "form_8"}
-KINDS = {4: "identity", 5: "address", 6: "age", 7: "correction"}
+# A forms catalogue made of the nations (forms) and regions (document categories).
+FORM_IDS = {1: "form_6", 2: "form_7", 3: "form_8"}
+KINDS = {0: "identity", 1: "address", 2: "age", 3: "correction", 4: "other"}
 
 
 def _cases(key: str, table_: dict) -> str:
@@ -163,11 +163,11 @@ def _cases(key: str, table_: dict) -> str:
 
 
 def forms_rows(spark, folder):
-    parts = table(spark, folder, "part")
-    forms = parts.where("p_partkey < 4").selectExpr(
-        f"{_cases('p_partkey', FORM_IDS)} AS form_id", "concat('Form ', p_name) AS label", "p_type AS purpose", "'https://p.example/' AS official_portal")
-    kinds = parts.where("p_partkey BETWEEN 4 AND 7").selectExpr(
-        f"{_cases('p_partkey', KINDS)} AS category", "array(p_name, concat('proof ', p_type)) AS documents")
+    form_id = _cases("n_nationkey", FORM_IDS).replace(" END", " ELSE concat('form_n', n_nationkey) END")
+    forms = table(spark, folder, "nation").selectExpr(
+        f"{form_id} AS form_id", "concat('Form ', n_name) AS label", "n_name AS purpose", "'https://p.example/' AS official_portal")
+    kinds = table(spark, folder, "region").selectExpr(
+        f"{_cases('r_regionkey', KINDS)} AS category", "array(r_name, concat('proof ', r_name)) AS documents")
     return forms, kinds
 
 
@@ -309,14 +309,29 @@ def register(catalog: Catalog) -> None:
     def search_availability(spark, folder):
         return registry.search_availability(registry_rows(spark, folder)).select("state_id", "capability", "message")
 
-    @catalog.add("forms_scan", f"""
-        SELECT 'form' AS kind, {_cases('p_partkey', FORM_IDS)} AS id, 'Form ' || p_name AS label FROM part WHERE p_partkey < 4
-        UNION ALL SELECT 'document', {_cases('p_partkey', KINDS)}, p_name || '|proof ' || p_type FROM part WHERE p_partkey BETWEEN 4 AND 7""")
+    @catalog.add("forms_scan", """
+        SELECT p_partkey, 'form' AS kind, 'form_6' AS id, 'Form ' || p_name AS label FROM part
+        UNION ALL SELECT p_partkey, 'form', 'form_' || p_size, 'Size ' || p_type FROM part WHERE p_size <> 6
+        UNION ALL SELECT p_partkey, 'document', 'identity', p_name || '|proof ' || p_type FROM part""")
     def forms_scan(spark, folder):
+        documents = table(spark, folder, "part").selectExpr(
+            "p_partkey",
+            "map_concat(map('form_6', named_struct('label', concat('Form ', p_name), 'purpose', p_type, 'official_portal', 'u')), "
+            "if(p_size = 6, map(), map(concat('form_', p_size), named_struct('label', concat('Size ', p_type), 'purpose', p_type, 'official_portal', 'u')))) AS forms",
+            "map('identity', array(p_name, concat('proof ', p_type))) AS common_documents",
+        )
+        forms, kinds = readers.catalogue_rows(documents, "p_partkey")
+        return forms.select("p_partkey", F.lit("form").alias("kind"), F.col("form_id").alias("id"), "label").unionByName(
+            kinds.select("p_partkey", F.lit("document").alias("kind"), F.col("category").alias("id"), F.array_join("documents", "|").alias("label")))
+
+    @catalog.add("forms_payload", """
+        SELECT (SELECT string_agg(label, '|' ORDER BY id) FROM (SELECT CASE n_nationkey WHEN 1 THEN 'form_6' WHEN 2 THEN 'form_7' WHEN 3 THEN 'form_8' ELSE 'form_n' || n_nationkey END AS id, 'Form ' || n_name AS label FROM nation)) AS labels,
+               (SELECT count(*) FROM region) AS categories, (SELECT count(*) FROM customer) AS requests""")
+    def forms_payload(spark, folder):
         row = registry.forms_payload(*forms_rows(spark, folder))
-        forms = row.select(F.lit("form").alias("kind"), F.explode("forms").alias("f")).select("kind", F.col("f.form_id").alias("id"), F.col("f.label").alias("label"))
-        kinds = row.select(F.lit("document").alias("kind"), F.explode("common_documents").alias("id", "d")).select("kind", "id", F.array_join("d", "|").alias("label"))
-        return forms.unionByName(kinds)
+        asked = table(spark, folder, "customer").agg(F.count("*").alias("requests"))
+        return row.select(F.array_join(F.transform("forms", lambda f: f["label"]), "|").alias("labels"),
+                          F.size("common_documents").alias("categories")).join(asked, F.lit(True))
 
     # -- requests ------------------------------------------------------------------------
     gate = {
@@ -430,8 +445,8 @@ def register(catalog: Catalog) -> None:
         ("situation = 'existing_voter' AND enumeration_form_received = 'yes' AND enumeration_form_submitted = 'no'", _t(words.WEB_SUBMIT_FORM)),
         ("situation = 'existing_voter' AND (blo_visited = 'no' OR enumeration_form_received = 'no')", _t(words.WEB_NO_FORM_YET)))
     labelled = "replace(replace(replace({0}, '{{form_6}}', f6), '{{form_7}}', f7), '{{form_8}}', f8)"
-    form = lambda k: f"(SELECT 'Form ' || p_name FROM part WHERE p_partkey = {k})"
-    kind = lambda k: f"(SELECT p_name || '|proof ' || p_type FROM part WHERE p_partkey = {k})"
+    form = lambda k: f"(SELECT 'Form ' || n_name FROM nation WHERE n_nationkey = {k})"
+    kind = lambda k: f"(SELECT r_name || '|proof ' || r_name FROM region WHERE r_regionkey = {k})"
     docs = f"array_to_string({_by_situation(words.WEB, 4)}, '|')"
     for key, name in KINDS.items():
         docs = f"replace({docs}, '@{name}', {kind(key)})"

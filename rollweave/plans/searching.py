@@ -19,13 +19,13 @@ def voter_tables(spark, folder):
     """Parts as voter records, brands as constituencies, sizes as parts of them."""
     parts = table(spark, folder, "part")
     voters = parts.selectExpr(
-        "p_partkey AS voter_record_id", "'IN-TS' AS state_id", "p_brand AS ac_id", "p_size AS polling_station_id",
+        "p_partkey AS voter_record_id", "'IN-TS' AS state_id", "p_brand AS ac_id", "CASE WHEN p_size < 40 THEN p_size END AS polling_station_id",
         "CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE CAST(p_partkey AS INT) END AS serial_number",
         f"{NAME} AS name_original", f"lower({NAME}) AS name_normalized", "p_size AS age", "'F' AS gender",
         "'father' AS relation_type", "'ok' AS data_quality", "right(p_type, 4) AS epic_last4",
     )
     acs = parts.selectExpr("p_brand AS ac_id", f"{AC_NUMBER} AS ac_number").distinct()
-    stations = parts.selectExpr("p_size AS polling_station_id", "p_size + 1000 AS part_number").where("p_size < 40").distinct()
+    stations = parts.selectExpr("p_size AS polling_station_id", "p_size + 1000 AS part_number").distinct()
     return voters, acs, stations
 
 

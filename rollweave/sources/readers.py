@@ -61,12 +61,16 @@ def read_states(spark: SparkSession, directory: str) -> DataFrame:
     return typed_states(last_per_key(docs, ["state_id"], ["_file"]).drop("_file"))
 
 
+def catalogue_rows(documents: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """(forms, document categories) of catalogue documents, one row per map entry."""
+    forms = documents.select(*keep, F.explode("forms").alias("form_id", "f")).select(*keep, "form_id", "f.*")
+    kinds = documents.select(*keep, F.explode("common_documents").alias("category", "documents"))
+    return forms.orderBy(*keep, "form_id"), kinds.orderBy(*keep, "category")
+
+
 def read_forms(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(forms, documents) of a forms catalogue, each sorted by its key."""
-    doc = spark.read.schema(schemas.FORMS_DOCUMENT).option("multiLine", True).json(path)
-    forms = doc.select(F.explode("forms").alias("form_id", "f")).select("form_id", "f.*").orderBy("form_id")
-    kinds = doc.select(F.explode("common_documents").alias("category", "documents")).orderBy("category")
-    return forms, kinds
+    return catalogue_rows(spark.read.schema(schemas.FORMS_DOCUMENT).option("multiLine", True).json(path))
 
 
 def read_search_records(spark: SparkSession, path: str) -> DataFrame:

@@ -53,10 +53,6 @@ def export_enriched(voters: DataFrame, path: str) -> None:
     enrich_names(voters).write.mode("overwrite").json(path)
 
 
-# Folders a table is split into.
-SLICES = 256
-
-
 class TableStore:
     """Relational tables as Parquet, changed by whole loads.
 
@@ -67,8 +63,8 @@ class TableStore:
     the caller removes them.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, slices: int = 256):
+        self.spark, self.root, self.slices = spark, root.rstrip("/"), slices
         jvm = spark.sparkContext._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -97,12 +93,15 @@ class TableStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*chosen)
 
-    @staticmethod
-    def slice_of(df: DataFrame, name: str) -> DataFrame:
+    def slice_of(self, df: DataFrame, name: str) -> DataFrame:
         """Rows with their slice. Records and stations go by constituency, so one roll touches
         one slice; the other tables go by their key."""
         by = "ac_id" if name in ("voter_records", "polling_stations") else schemas.KEYS[name]
-        return df.withColumn("slice", F.format_string("s%03d", F.pmod(F.xxhash64(by), F.lit(SLICES))))
+        return df.withColumn("slice", F.format_string("s%03d", F.pmod(F.xxhash64(by), F.lit(self.slices))))
+
+    def _write(self, df: DataFrame, name: str, folder: str) -> None:
+        """Rows by slice: small slices share a task, a hot one is split over several."""
+        self.slice_of(df, name).hint("rebalance", "slice").write.partitionBy("slice").parquet(folder)
 
     def _slices_in(self, folder: str) -> list[str]:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
@@ -118,7 +117,7 @@ class TableStore:
             key = [schemas.KEYS[name]]
             # The rows are written once, by slice; the merge reads them back from there.
             staged = f"{self.root}/_staged/{tag}/{name}"
-            self.slice_of(latest(batch[name], key), name).write.partitionBy("slice").parquet(staged)
+            self._write(latest(batch[name], key), name, staged)
             slices = self._slices_in(staged)
             touched[name] = len(slices)
             if not slices:
@@ -129,7 +128,7 @@ class TableStore:
             if "created_at" in merged.columns:
                 merged = merged.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
             folder = f"{self.root}/{name}/{tag}"
-            self.slice_of(merged, name).write.partitionBy("slice").parquet(folder)
+            self._write(merged, name, folder)
             head.setdefault(name, {}).update({s: f"{folder}/slice={s}" for s in slices})
         self._commit(head, version)
         return touched

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rollweave.functions.text import (
     fingerprint, gram_similarity, normalize_name, trigrams,
 )
-from rollweave.operators.search import keep_scores
+from rollweave.operators.search import keep_scores, ranked_matches
 from rollweave.session import scratch_path
 
 NAME_THRESHOLD = 0.3
@@ -84,17 +84,14 @@ def two_phase_search(
 ) -> DataFrame:
     """Candidates by similarity, then a weighted re-rank on similarity, shared words and code.
 
-    ``queries(query_id, scope..., query)`` must be few against the records (they are joined
-    on the scope); :func:`rollweave.operators.search.fuzzy_search_batch` is for many.
+    ``queries(query_id, scope..., query)``; ``voters(voter_record_id, scope...,
+    name_normalized)``.
     """
-    q = queries.withColumn("query", normalize_name(F.col("query"))).withColumn("_q", trigrams(F.col("query")))
-    named = voters.withColumn("_n", trigrams(F.col("name_normalized")))
-    scored = keep_scores(named.join(q, list(scope)), gram_similarity(F.col("_n"), F.col("_q")), NAME_THRESHOLD)
-    first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "voter_record_id")
-    short = scored.drop("_n", "_q").withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= candidates)
-    asked, has = F.split("query", " "), F.split("name_normalized", " ")
+    unplaced = voters.withColumn("serial_number", F.lit(None).cast("int"))
+    short = ranked_matches(queries, unplaced, candidates, NAME_THRESHOLD, list(scope))
+    asked, has = F.split("query", " "), F.split("name", " ")
     words = F.size(F.array_intersect(asked, has)) / F.size(F.array_distinct(asked))
-    code = (phonetic_code(F.col("query")) == phonetic_code(F.col("name_normalized"))).cast("double")
+    code = (phonetic_code(F.col("query")) == phonetic_code(F.col("name"))).cast("double")
     rank_score = F.round(weights[0] * F.col("score").cast("double") + weights[1] * words + weights[2] * code, 6)
     final = Window.partitionBy("query_id").orderBy(F.col("rank_score").desc(), "voter_record_id")
     return (

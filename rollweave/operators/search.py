@@ -166,25 +166,23 @@ def similar_names(
     return keep_scores(cut, gram_similarity(F.col("_q"), F.col("_n")), threshold).drop("_q", "_n")
 
 
-def fuzzy_search_batch(
-    queries: DataFrame, voters: DataFrame, k: int = 10, threshold: float = DEFAULT_THRESHOLD,
-    scope: tuple[str, ...] = ("state_id", "ac_number"),
+def ranked_matches(
+    queries: DataFrame, voters: DataFrame, k: int, threshold: float, scope: list[str]
 ) -> DataFrame:
-    """The best ``k`` records for every query of a table, each in its own scope.
+    """The first ``k`` records of every query of its scope by score, serial and id, scores
+    not rounded.
 
-    ``queries(query_id, scope..., query)``; ``voters(voter_record_id, scope...,
-    serial_number, name_normalized)``. Distinct texts are compared once. Of each name only
-    its ``k`` first records and of each query only its ``k`` best names can be in the
-    answer, so both are cut by a rank before the records are joined back.
+    Distinct texts are compared once. Of each name only its ``k`` first records and of each
+    query only its ``k`` best names can be in the answer, so both are cut by a rank (which
+    Spark also applies before the shuffle) ahead of joining the records back.
     """
     if threshold <= 0:
         raise ValueError("a batch search needs a threshold above 0")
-    scope = list(scope)
     q = queries.withColumn("query", normalize_name(F.col("query"))).where(F.length("query") >= 2)
     place = [F.col("serial_number").asc_nulls_last(), F.col("voter_record_id")]
     by_name = Window.partitionBy(*scope, "name_normalized").orderBy(*place)
     firsts = (
-        voters.select(*scope, "voter_record_id", "serial_number", F.col("name_normalized"))
+        voters.select(*scope, "voter_record_id", "serial_number", "name_normalized")
         .withColumn("_rn", F.row_number().over(by_name)).where(F.col("_rn") <= k)
         .withColumnRenamed("name_normalized", "name")
     )
@@ -205,7 +203,19 @@ def fuzzy_search_batch(
         best.join(firsts.drop("_rn"), [*scope, "name"])
         .withColumn("rank", F.row_number().over(ranked_in)).where(F.col("rank") <= k)
     )
-    return q.join(answers, [*scope, "query"]).select(
+    return q.join(answers, [*scope, "query"])
+
+
+def fuzzy_search_batch(
+    queries: DataFrame, voters: DataFrame, k: int = 10, threshold: float = DEFAULT_THRESHOLD,
+    scope: tuple[str, ...] = ("state_id", "ac_number"),
+) -> DataFrame:
+    """The best ``k`` records for every query of a table, each in its own scope.
+
+    ``queries(query_id, scope..., query)``; ``voters(voter_record_id, scope...,
+    serial_number, name_normalized)``.
+    """
+    return ranked_matches(queries, voters, k, threshold, list(scope)).select(
         "query_id", *scope, "query", "rank", "voter_record_id", "serial_number", "name",
         F.round(F.col("score").cast("double"), 4).alias("score"),
     )

@@ -41,10 +41,11 @@ def page_lines(pages: DataFrame) -> DataFrame:
         body = pages.join(bounds, "doc_id").where(
             (F.col("page_no") > F.col("_first")) & (F.col("page_no") < F.col("_last"))
         )
-    return (
-        body.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .withColumn("line", strip(F.col("line")))
-        .where(F.col("line") != "")
+    # Stripped before the explode: filters on a generated column stay above the generator,
+    # where they would otherwise each carry their own copy of the stripping.
+    stripped = F.transform(F.split("text", "\n"), strip)
+    return body.select("doc_id", "page_no", F.posexplode(stripped).alias("line_no", "line")).where(
+        F.col("line") != ""
     )
 
 
@@ -86,14 +87,18 @@ def is_record(line: Column, layout: RollLayout = LEGACY_2002) -> Column:
 
 
 def extract_records(lines: DataFrame, layout: RollLayout = LEGACY_2002) -> DataFrame:
-    """Lines that are records, with their typed fields and quality flags. No shuffle.
+    """Lines that are records, with their typed fields and quality flags. No shuffle."""
+    return _with_fields(lines.where(is_record(F.col("line"), layout)), layout)
+
+
+def _with_fields(kept: DataFrame, layout: RollLayout) -> DataFrame:
+    """Record fields of every line.
 
     The anchor always runs to the end of a stripped line, so it starts at the line length
     less the match length, and the middle lies between it and the head; the two may overlap.
     The steps are separate projections so that no pattern is matched twice.
     """
     c = F.col
-    kept = lines.where(is_record(c("line"), layout))
     ends = kept.withColumns({
         "_head": F.regexp_extract("line", layout.head, 0),
         "_tail": F.regexp_extract("line", layout.anchor, 0),
@@ -174,16 +179,20 @@ def carry_forward(
 
 
 def carry_sections(lines: DataFrame, layout: RollLayout = LEGACY_2002) -> DataFrame:
-    """Records with the section they stand under; (0, '') before a document's first header."""
+    """Records with the section they stand under; (0, '') before a document's first header.
+
+    Fields are extracted ahead of the shuffle, where the scan's own splits do the work.
+    """
     line = F.col("line")
     marked = (
         lines.withColumn("_section", F.when(_is_section(line, layout), _section(line, layout)))
         .where(F.col("_section").isNotNull() | is_record(line, layout))
         .withColumn("_block", F.floor(F.col("page_no") / PAGES_PER_BLOCK))
     )
-    carried = carry_forward(marked, "doc_id", "_block", ["page_no", "line_no"], "_section", "_under")
+    fields = _with_fields(marked, layout).drop("line")
+    carried = carry_forward(fields, "doc_id", "_block", ["page_no", "line_no"], "_section", "_under")
     return (
-        extract_records(carried.where(F.col("_section").isNull()), layout)
+        carried.where(F.col("_section").isNull())
         .withColumn("section_number", F.coalesce(F.col("_under.number"), F.lit(0)))
         .withColumn("section_name", F.coalesce(F.col("_under.name"), F.lit("")))
         .drop("_section", "_block", "_under")
@@ -216,5 +225,4 @@ def section_map(headers: DataFrame) -> DataFrame:
 
 def extract_voters(lines: DataFrame, layout: RollLayout = LEGACY_2002) -> DataFrame:
     """All records of all documents: sections carried, first record per serial kept."""
-    records = carry_sections(lines, layout).drop("line")
-    return first_per_key(records, ["doc_id", "serial_number"], ["page_no", "line_no"])
+    return first_per_key(carry_sections(lines, layout), ["doc_id", "serial_number"], ["page_no", "line_no"])

@@ -110,6 +110,10 @@ def keep_scores(df: DataFrame, score: Column, threshold: float) -> DataFrame:
 _SLACK = 1.0 - 1e-6
 
 
+# Bits of a set's signature, in words of 64.
+_WORDS = 4
+
+
 def _postings(df: DataFrame, text: str, scope: list[str]) -> DataFrame:
     """(scope, text, size, gram) of the distinct texts of a table."""
     return (
@@ -120,21 +124,46 @@ def _postings(df: DataFrame, text: str, scope: list[str]) -> DataFrame:
 
 
 def _prefix(postings: DataFrame, frequency: DataFrame, scope: list[str], text: str, threshold: float) -> DataFrame:
-    """Only the grams of which an item must share one with any partner at the threshold.
+    """Only the grams of which an item must share one with any partner at the threshold,
+    each with the item's size and signature.
 
     With grams in one global order (rare first), two sets of similarity t share a gram
-    within the first n - ceil(t*n) + 1 of each.
+    within the first n - ceil(t*n) + 1 of each. The signature sets one of 256 bits per gram.
     """
     n = F.col(f"{text}_n")
+    bit = F.pmod(F.xxhash64("gram"), F.lit(64 * _WORDS)).cast("int")
+    place = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("_bit"), F.lit(64)))
+    signature = [
+        F.bit_or(F.when(F.floor(F.col("_bit") / 64) == w, place).otherwise(F.lit(0).cast("bigint"))).alias(f"{text}_s{w}")
+        for w in range(_WORDS)
+    ]
     ordered = (
-        postings.join(frequency, "gram", "left")
+        postings.join(frequency, "gram", "left").withColumn("_bit", bit)
         .groupBy(*scope, text, f"{text}_n")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("_order"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("_order"), *signature)
     )
     keep = (n - F.ceil(n * F.lit(threshold * _SLACK)) + 1).cast("int")
-    return ordered.select(*scope, text, f"{text}_n", F.explode(F.slice("_order", F.lit(1), keep)).alias("_g")).select(
-        *scope, text, f"{text}_n", F.col("_g.gram").alias("gram")
-    )
+    words = [f"{text}_s{w}" for w in range(_WORDS)]
+    return ordered.select(
+        *scope, text, f"{text}_n", *words, F.explode(F.slice("_order", F.lit(1), keep)).alias("_g")
+    ).select(*scope, text, f"{text}_n", *words, F.col("_g.gram").alias("gram"))
+
+
+def _may_reach(threshold: float) -> Column:
+    """False only for pairs that cannot reach the threshold.
+
+    A bit one signature has and the other lacks stands for at least one gram the other set
+    lacks, which bounds the number of common grams from above.
+    """
+    def lacks(a: str, b: str) -> Column:
+        return sum(
+            (F.bit_count(F.col(f"{a}_s{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}_s{w}")))) for w in range(_WORDS)),
+            F.lit(0),
+        )
+
+    q, n = F.col("query_n"), F.col("name_n")
+    common = F.least(q - lacks("query", "name"), n - lacks("name", "query"))
+    return common * (1 + threshold * _SLACK) >= (q + n) * (threshold * _SLACK)
 
 
 def similar_names(
@@ -142,11 +171,12 @@ def similar_names(
 ) -> DataFrame:
     """(scope, query, name, score) for all distinct texts of a scope at or above the threshold.
 
-    Candidates come from shared prefix grams, never from all pairs of a scope, and set sizes
-    rule most of them out before sets are compared. The postings of one gram are spread over
-    ``salts`` buckets of the name side, each met by its own copy of the query side, so a gram
-    that a third of all names carry is not one task. The gram frequencies are one row per
-    distinct gram; Spark broadcasts them when they turn out small enough.
+    Candidates come from shared prefix grams, never from all pairs of a scope, and a bound
+    from sizes and signatures rules most of them out inside the join, before sets are
+    compared. The postings of one gram are spread over ``salts`` buckets of the name side,
+    each met by its own copy of the query side, so a gram that a third of all names carry
+    is not one task. The gram frequencies are one row per distinct gram; Spark broadcasts
+    them when they turn out small enough.
     """
     q, n = _postings(queries, "query", scope), _postings(names, "name", scope)
     frequency = n.groupBy("gram").agg(F.count("*").alias("df"))
@@ -156,10 +186,8 @@ def similar_names(
     n_posts = _prefix(n, frequency, scope, "name", threshold).withColumn(
         "salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int")
     )
-    bound = F.lit(threshold * _SLACK)
-    fits = (F.col("name_n") >= F.col("query_n") * bound) & (F.col("name_n") * bound <= F.col("query_n"))
     pairs = (
-        q_posts.join(n_posts, [*scope, "gram", "salt"]).where(fits)
+        q_posts.join(n_posts, [*scope, "gram", "salt"]).where(_may_reach(threshold))
         .select(*scope, "query", "name").distinct()
     )
     cut = pairs.withColumns({"_q": trigrams(F.col("query")), "_n": trigrams(F.col("name"))})

@@ -168,7 +168,7 @@ def register(catalog: Catalog) -> None:
 
     @catalog.add("section_carry", f"WITH {CARRIED_SQL} SELECT {VOTER_COLUMNS}, section_number, section_name FROM carried")
     def section_carry(spark, folder):
-        return lines.carry_sections(roll_lines(spark, folder)).drop("line")
+        return lines.carry_sections(roll_lines(spark, folder))
 
     @catalog.add("first_per_key", f"WITH {CARRIED_SQL} SELECT {VOTER_COLUMNS}, section_number, section_name FROM firsts")
     def first_per_key(spark, folder):

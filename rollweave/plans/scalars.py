@@ -10,6 +10,7 @@ from rollweave.operators.lines import decode_bold, has_bold
 from rollweave.plans import Catalog, table
 from rollweave.sources.writers import enrich_names
 from rollweave.plans.standins import GLYPH_NAMES, glyph_name
+from rollweave.session import spread
 
 # A messy name: mixed case, doubled blanks, a tab, letters that case-fold specially.
 MESSY = "concat('  ', c_name, '   ', c_mktsegment, chr(9), CASE WHEN c_custkey % 5 = 0 THEN 'Straße µ' ELSE 'É  ' END)"
@@ -156,7 +157,8 @@ def register(catalog: Catalog) -> None:
     @catalog.add("name_enrich", f"SELECT o_orderkey, {two(dev_sql)} AS voter_name_dev, {two(latin_sql)} AS voter_name_en FROM orders")
     def name_enrich(spark, folder):
         name = f"concat({glyph_name('o_custkey')}, ' ', o_orderkey % 97, ' ', {glyph_name('o_orderkey')})"
-        df = table(spark, folder, "orders").selectExpr("o_orderkey", f"{name} AS voter_name")
+        orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey"))
+        df = orders.selectExpr("o_orderkey", f"{name} AS voter_name")
         return enrich_names(df, ("voter_name",)).drop("voter_name")
 
     @catalog.add("redact", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rollweave.operators import scan, search
 from rollweave.plans import Catalog, table
 from rollweave.plans.scalars import duck_similarity, duck_trigrams, search_records
+from rollweave.session import spread
 
 # Longer, more varied names than the part table has alone.
 NAME = "concat(p_name, ' ', lower(p_type), ' ', p_size)"
@@ -85,11 +86,11 @@ def register(catalog: Catalog) -> None:
 
     @catalog.add("sensitive_scan", found + " SELECT doc_id, line_no, label, substring(line, 1, 160) AS excerpt FROM hits")
     def sensitive_scan(spark, folder):
-        return scan.sensitive_scan(table(spark, folder, "documents"), "doc_id", patterns=SCAN_PATTERNS)
+        return scan.sensitive_scan(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", patterns=SCAN_PATTERNS)
 
     @catalog.add("sensitive_summary", found + " SELECT label, count(*) AS findings FROM hits GROUP BY label")
     def sensitive_summary(spark, folder):
-        return scan.scan_summary(scan.sensitive_scan(table(spark, folder, "documents"), "doc_id", patterns=SCAN_PATTERNS))
+        return scan.scan_summary(scan.sensitive_scan(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", patterns=SCAN_PATTERNS))
 
     path = (
         "concat(CASE CAST(page_id AS INT) % 12 WHEN 0 THEN 'data/' WHEN 1 THEN 'samples/regions/' WHEN 2 THEN 'src/node_modules/' WHEN 3 THEN 'dist/' "

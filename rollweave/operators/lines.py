@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollweave.functions.layout import LEGACY_2002, RollLayout
 from rollweave.functions.text import NON_WS, blank_to_null, strip
+from rollweave.session import stage
 
 BOLD = r"([^\n])\1{3}"
 # Pages of one document that are ordered together; a document of any length is spread
@@ -178,10 +179,12 @@ def carry_forward(
     )
 
 
-def carry_sections(lines: DataFrame, layout: RollLayout = LEGACY_2002) -> DataFrame:
+def carry_sections(lines: DataFrame, layout: RollLayout = LEGACY_2002, staged: bool = False) -> DataFrame:
     """Records with the section they stand under; (0, '') before a document's first header.
 
-    Fields are extracted ahead of the shuffle, where the scan's own splits do the work.
+    Fields are extracted ahead of the shuffle, where the scan's own splits do the work. The
+    rows are used twice, to order them and to find each block's last header: ``staged``
+    writes them to the shared folder in between, so the text is read and parsed once.
     """
     line = F.col("line")
     marked = (
@@ -190,6 +193,8 @@ def carry_sections(lines: DataFrame, layout: RollLayout = LEGACY_2002) -> DataFr
         .withColumn("_block", F.floor(F.col("page_no") / PAGES_PER_BLOCK))
     )
     fields = _with_fields(marked, layout).drop("line")
+    if staged:
+        fields = stage(fields, "records")
     carried = carry_forward(fields, "doc_id", "_block", ["page_no", "line_no"], "_section", "_under")
     return (
         carried.where(F.col("_section").isNull())
@@ -223,6 +228,6 @@ def section_map(headers: DataFrame) -> DataFrame:
     )
 
 
-def extract_voters(lines: DataFrame, layout: RollLayout = LEGACY_2002) -> DataFrame:
+def extract_voters(lines: DataFrame, layout: RollLayout = LEGACY_2002, staged: bool = False) -> DataFrame:
     """All records of all documents: sections carried, first record per serial kept."""
-    return first_per_key(carry_sections(lines, layout), ["doc_id", "serial_number"], ["page_no", "line_no"])
+    return first_per_key(carry_sections(lines, layout, staged), ["doc_id", "serial_number"], ["page_no", "line_no"])

@@ -11,6 +11,7 @@ from rollweave.plans.standins import (
     COVER, DOC, PAGE, PAGES_SQL, SECOND, SECTION_NAME, SECTION_NUMBER, SUMMARY,
     cover_pages, page_text,
 )
+from rollweave.session import stage
 
 LINES_SQL = f"""
     pages AS ({PAGES_SQL}),
@@ -97,7 +98,7 @@ def roll_lines(spark, folder):
 
 
 def voters(spark, folder):
-    return lines.extract_voters(roll_lines(spark, folder))
+    return lines.extract_voters(roll_lines(spark, folder), staged=True)
 
 
 RECONCILED_SQL = CARRIED_SQL + "," + DOCUMENTS_SQL + """,
@@ -127,7 +128,8 @@ IDS_SQL = RECONCILED_SQL + ", ids AS (SELECT *, " + ", ".join(f"{v} AS {k}" for
 
 def batch(spark, folder):
     """The six row sets; the run's finishing time is fixed so results can be compared."""
-    people = voters(spark, folder)
+    # Counted, flagged and joined: three uses.
+    people = stage(voters(spark, folder), "voters")
     accepted, _ = ingest.split_reconciled(ingest.reconcile(documents(spark, folder), people))
     return ingest.fan_out(accepted, people, SALT, F.lit("2026-01-01 00:00:00").cast("timestamp"))
 

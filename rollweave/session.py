@@ -59,6 +59,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """A table written to the shared folder and read back.
+
+    For rows that several later steps need: they are worked out once, later steps read only
+    the columns they use, and a lost executor does not reach behind it.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than cores, dealt out to all cores.
 

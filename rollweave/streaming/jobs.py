@@ -72,7 +72,7 @@ def stream_load(
 
     def load(batch: DataFrame, number: int) -> None:
         records = f"{store.root}/_extracted/{number:09d}"
-        lines.extract_voters(lines.page_lines(batch), layout).write.mode("overwrite").parquet(records)
+        lines.extract_voters(lines.page_lines(batch), layout, staged=True).write.mode("overwrite").parquet(records)
         voters = batch.sparkSession.read.parquet(records)
         accepted, _ = ingest.split_reconciled(ingest.reconcile(describe(batch), voters))
         store.load(ingest.fan_out(accepted, voters, salt))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -65,11 +67,12 @@ def sensitive_scan(
 ) -> DataFrame:
     """One row per (line, pattern) hit: key, line number from 1, label, start of the line.
 
-    Whole texts are scanned in place; one combined test on the text leaves out rows without
-    any hit before they are cut into lines. No shuffle.
+    Whole texts are scanned in place; rows without any hit are left out before they are cut
+    into lines. The patterns are tried one by one there: one joined alternation was measured
+    at nearly twice the time. No shuffle.
     """
-    anything = "|".join(f"(?:{_java(p, blind)})" for _, p, blind in patterns)
-    lines = corpus.where(F.col(text).rlike(anything)).select(
+    anything = reduce(or_, [F.col(text).rlike(_java(p, blind)) for _, p, blind in patterns])
+    lines = corpus.where(anything).select(
         key, F.posexplode(F.split(text, LINE_ENDS)).alias("_pos", "line")
     )
     return (

@@ -97,6 +97,11 @@ def is_text_path(path: Column) -> Column:
     return suffix.isin(*TEXT_SUFFIXES) | name.isin(*TEXT_NAMES)
 
 
+def candidate_files(tracked: DataFrame, untracked: DataFrame) -> DataFrame:
+    """Distinct paths of two file lists."""
+    return tracked.select("path").union(untracked.select("path")).where(F.col("path") != "").distinct()
+
+
 def path_scan(files: DataFrame, path: str = "path", content: str | None = None) -> DataFrame:
     """Files whose path is blocked or, with their bytes, that are binary or badly encoded."""
     p = F.col(path)

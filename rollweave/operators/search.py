@@ -78,6 +78,10 @@ def fuzzy_search(
     query: str, limit: int = 10, threshold: float = DEFAULT_THRESHOLD, include_last4: bool = False,
 ) -> DataFrame:
     """Best matches of one name in one constituency, by trigram similarity then serial."""
+    if not state_id:
+        raise ValueError("state_id is required")
+    if ac_number <= 0:
+        raise ValueError("ac_number must be positive")
     check_search(query, limit, threshold)
     grams = trigrams(normalize_name(F.lit(query)))
     stored = F.col("name_trigrams") if "name_trigrams" in voters.columns else trigrams(F.col("name_normalized"))

@@ -170,3 +170,31 @@ def test_exports(spark, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.first()["file"] == "ac046_part021_2002" and back.first()["data_quality"] == "ok"
     assert spark.read.json(str(tmp_path / "en")).first()["voter_name_en"] == "shekha"
+
+
+def test_search_refuses_bad_requests(spark):
+    import pytest
+    empty = spark.createDataFrame([], "state_id string")
+    bad = [("", 172, "name", 10, 0.2), ("S", 0, "name", 10, 0.2), ("S", 1, " a ", 10, 0.2), ("S", 1, "name", 21, 0.2), ("S", 1, "name", 5, 1.5)]
+    for state, ac, query, limit, threshold in bad:
+        with pytest.raises(ValueError):
+            search.fuzzy_search(empty, empty, empty, state, ac, query, limit, threshold)
+
+
+def test_single_search_report(spark):
+    v = spark.createDataFrame(
+        [(1, "S", "a", "p", None, "Sample Person", "sample person", 30, "F", "father", "ok", "1234"),
+         (2, "S", "a", "q", 7, "Sample Person", "sample person", 31, "M", "father", "ok", "9999"),
+         (3, "S", "b", "p", 1, "Sample Person", "sample person", 31, "M", "father", "ok", "9999")],
+        "voter_record_id int, state_id string, ac_id string, polling_station_id string, serial_number int, name_original string, "
+        "name_normalized string, age int, gender string, relation_type string, data_quality string, epic_last4 string")
+    acs = spark.createDataFrame([("a", 172), ("b", 173)], "ac_id string, ac_number int")
+    ps = spark.createDataFrame([("p", 4)], "polling_station_id string, part_number int")
+    hits = search.fuzzy_search(v, acs, ps, "S", 172, "Sampel person")
+    rows = hits.collect()
+    # The record without a serial stands last, the one without a known station keeps a NULL part.
+    assert [(r["serial_number"], r["part_number"]) for r in rows] == [(7, None), (None, 4)]
+    assert "epic_last4" not in hits.columns
+    report = search.search_report(hits, "S", 172, "Sampel person", 10, 0.2).first()
+    assert report["result_count"] == 2 and report["query_summary"] == "len:13 prefix:sa"
+    assert [r["serial_number"] for r in report["results"]] == [7, None]

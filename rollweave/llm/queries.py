@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rollweave.llm import packing, token_counts
+from rollweave.llm import packing, quality_rules, token_counts, token_files
 from rollweave.llm.common import table
 
 
+def op2_quality_rules(spark, folder):
+    return quality_rules.judge(table(spark, folder, "documents"))
+
+
 def op5_best_fit_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_token_files(spark, folder):
+    return token_files.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {job.__name__: job for job in (op5_best_fit_packing, op9_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {job.__name__: job for job in (op2_quality_rules, op5_best_fit_packing, op7_token_files, op9_token_counts)}
+SQL = {"op2_quality_rules": quality_rules.oracle()}

@@ -13,7 +13,7 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 # Pieces at which the lower-casing word tokenizer always ends a pre-token: runs of full stops and commas
 # stand alone if their neighbours are letters, digits or white space.
 PLAIN_PIECES = re.compile(r"[^\s.,]+|[.,]+")
-NOT_PLAIN = re.compile(r"[^\w\s.,][.,]|[.,][^\w\s.,]|_[.,]|[.,]_|[\x1c-\x1f\x85᠎​﻿]")
+NOT_PLAIN = re.compile(r"[^\w\s.,][.,]|[.,][^\w\s.,]|_[.,]|[.,]_|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 UPPER = re.compile(r"[A-Z]+")
 
 CACHED_PIECES = 600_000

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from rollweave.llm import packing, quality_rules, token_counts, token_files
+from rollweave.llm import decontaminate, near_dedup, packing, quality_rules, substring, token_counts, token_files
 from rollweave.llm.common import table
 
 
@@ -12,17 +13,32 @@ def op2_quality_rules(spark, folder):
     return quality_rules.judge(table(spark, folder, "documents"))
 
 
+def op4_near_duplicates(spark, folder):
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+
+
 def op5_best_fit_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_token_files(spark, folder):
     return token_files.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_substring_dedup(spark, folder):
+    found = substring.remove_repeats(table(spark, folder, "documents"), width=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {job.__name__: job for job in (op2_quality_rules, op5_best_fit_packing, op7_token_files, op9_token_counts)}
+QUERIES = {job.__name__: job for job in (
+    op2_quality_rules, op4_near_duplicates, op5_best_fit_packing, op6_decontamination, op7_token_files,
+    op8_substring_dedup, op9_token_counts)}
 SQL = {"op2_quality_rules": quality_rules.oracle()}

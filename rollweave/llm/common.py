@@ -57,11 +57,20 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id", bound: int = 2_000_000) -> DataFrame:
-    """The rows whose key is among ids (a saved table of distinct keys).
-
-    Up to ``bound`` ids (16 MB of longs) the ids are broadcast, so that rows of other documents are not
-    shuffled; beyond it the join shuffles.
-    """
-    small = ids.count() <= bound
-    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
+# Ids that are broadcast to a scan of the documents: 16 MB of longs.
+MOST_BROADCAST = 2_000_000
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """The saved ids, to be broadcast if there are few, so that rows of other documents are not shuffled; beyond, the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
+def only_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ids (a saved table)."""
+    return df.join(_sized(ids), "doc_id", "left_semi")
+
+
+def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among ids (a saved table)."""
+    return df.join(_sized(ids), "doc_id", "left_anti")

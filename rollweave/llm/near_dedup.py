@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollweave.llm.common import batch_of, bounded_batches, only_ids, rows_of, saved, texts
+from rollweave.llm.common import batch_of, bounded_batches, only_ids, rows_of, saved, texts, without_ids
 from rollweave.llm.components import components
 from rollweave.llm.wordhash import mixed, shingle_set, word_hashes
 
@@ -142,3 +142,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     linked = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     return alone.union(linked).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with all their columns, of which one of each component stays; of rows that repeat a doc_id too."""
+    found = saved(near_duplicates(docs, width, percent), "found")
+    gone = saved(found.where("NOT kept").select("doc_id").distinct(), "gone")
+    if not found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        docs = docs.withColumn("_first", first).where("_first = 1 OR doc_id IS NULL").select(*docs.columns)
+    return without_ids(docs, gone)

@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rollweave.llm import decontaminate, near_dedup, packing, quality_rules, substring, token_counts, token_files
+from rollweave.llm import decontaminate, language, near_dedup, packing, quality_crf, quality_rules, substring, token_counts, token_files
 from rollweave.llm.common import table
 
 
+def op1_language_id(spark, folder):
+    return language.predict(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark, folder):
     return quality_rules.judge(table(spark, folder, "documents"))
 
@@ -38,7 +42,11 @@ def op9_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_quality_classifier(spark, folder):
+    return quality_crf.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {job.__name__: job for job in (
-    op2_quality_rules, op4_near_duplicates, op5_best_fit_packing, op6_decontamination, op7_token_files,
-    op8_substring_dedup, op9_token_counts)}
+    op1_language_id, op2_quality_rules, op4_near_duplicates, op5_best_fit_packing, op6_decontamination, op7_token_files,
+    op8_substring_dedup, op9_token_counts, op10_quality_classifier)}
 SQL = {"op2_quality_rules": quality_rules.oracle()}

@@ -11,7 +11,8 @@ the later comparison, which uses 64 bits.
 
 Defined results: a NULL or empty text has no words and keeps the empty text; texts shorter than ``width``
 keep all words; rows that repeat a doc_id count as one document, in the order of their texts; an empty table
-gives no rows; NULL doc_ids count as the last document.
+gives no rows; NULL doc_ids count as the last document. ``deduplicated`` leaves texts without repeats as they are,
+NULLs included, and keeps the white space inside what stays of the others; rows that lose every word stay, empty.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rollweave.llm.common import WORD
 from rollweave.llm.exchange import ASKED, answers, asked, bits_of, bucketed, dealt, in_order, partitions
@@ -131,8 +133,21 @@ def _owners(data: list[bytes], info: list[bytes]) -> list[np.ndarray]:
     return np.split(owner, np.cumsum(sizes)[:-1])
 
 
+def _shortened(text: str | None, gone: np.ndarray) -> str | None:
+    """The text without the words that go; what stood between two kept words stays."""
+    if not gone.any():
+        return text
+    spans = [m.span() for m in _WORDS.finditer(text)]
+    kept = np.concatenate([[False], ~gone, [False]]).astype(np.int8)
+    turns = np.flatnonzero(np.diff(kept))
+    return " ".join([text[spans[a][0] : spans[b - 1][1]] for a, b in zip(turns[0::2], turns[1::2], strict=True)])
+
+
 def remove_repeats(docs: DataFrame, width: int = 20, keep: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words, one blank between); with keep, ``rest`` has the other columns."""
+    """doc_id, n_words, n_removed, kept_text: the kept words, one blank between.
+
+    With keep, kept_text is the text in its own white space and ``rest`` has the other columns.
+    """
     rows = dealt(docs, keep)
     buckets = partitions(docs)
     rest = f", rest {rows.schema['rest'].dataType.simpleString()}" if keep else ""
@@ -149,8 +164,8 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep: bool = False) -> Data
         mine = _Group(group, width, buckets)
         mine.candidates(replies)
         gone = mine.removed(replies)
-        kept = []
-        for text, out in zip(mine.texts, gone, strict=True):
+        kept = [_shortened(t, out) for t, out in zip(mine.texts, gone, strict=True)] if keep else []
+        for text, out in zip(mine.texts, gone, strict=True) if not keep else ():
             words = _WORDS.findall(text or "")
             kept.append(" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x] if out.any() else words))
         columns = {"doc_id": mine.rows.column("doc_id"), "n_words": pa.array([len(x) for x in gone], pa.int64()),
@@ -162,3 +177,17 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep: bool = False) -> Data
     both = hits.union(owners)
     return rows.groupBy("gid").cogroup(both.groupBy("gid")).applyInArrow(
         finish, f"doc_id long, n_words long, n_removed long, kept_text string{rest}")
+
+
+def deduplicated(docs: DataFrame, width: int = 20) -> DataFrame:
+    """The documents, with all their columns, without repeated passages; n_chars, where there is one, follows the text."""
+    found = remove_repeats(docs, width, keep=True)
+    length = F.length("kept_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+
+    def column(name: str):
+        if name == "text":
+            return F.col("kept_text").alias(name)
+        own = F.col("rest").getField(name)
+        return (F.when(F.col("n_removed") > 0, length).otherwise(own) if name == "n_chars" else own).alias(name)
+
+    return found.select(*(column(c) for c in docs.columns))

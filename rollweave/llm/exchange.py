@@ -3,7 +3,7 @@
 Documents are dealt out to groups of about ``GROUP_DOCS`` by a hash of doc_id, once: later steps reuse that
 shuffle. A group asks about its distinct hash values, packed as arrays, one row for each bucket of
 values, so that a value that a third of all documents hold is a single entry of each group. A bucket
-answers each row with one bit a value. Groups recompute their values in the same order when the answers come.
+answers each row with one bit a value, or with bytes of its own making. Groups recompute their values in the same order when the answers come.
 """
 
 from __future__ import annotations
@@ -59,15 +59,20 @@ def answers(questions: DataFrame, turn: int, answer: Callable[[list[bytes], list
         order = sorted(range(len(gids)), key=gids.__getitem__)
         got = answer([data[i] for i in order], [info[i] for i in order])
         bucket = rows.column("bucket")[0].as_py()
-        return pa.table([pa.array([gids[i] for i in order], pa.int64()), pa.array([turn] * len(gids), pa.int32()), pa.array([bucket] * len(gids), pa.int32()), pa.array([np.packbits(g).tobytes() for g in got], pa.binary())], schema=_BITS)
+        return pa.table([pa.array([gids[i] for i in order], pa.int64()), pa.array([turn] * len(gids), pa.int32()), pa.array([bucket] * len(gids), pa.int32()), pa.array([(np.packbits(g) if g.dtype == bool else g).tobytes() for g in got], pa.binary())], schema=_BITS)
 
     return questions.groupBy("bucket").applyInArrow(reply, BITS)
 
 
-def bits_of(replies: pa.Table, turn: int, stretches: list[tuple[int, slice]], n: int) -> np.ndarray:
-    """The answers of one turn, in the order of the values asked about."""
+def bytes_of(replies: pa.Table, turn: int) -> dict[int, bytes]:
+    """The answer of each bucket in one turn."""
     turns, buckets, bits = (replies.column(c).to_pylist() for c in ("turn", "bucket", "bits"))
-    by_bucket = {b: x for t, b, x in zip(turns, buckets, bits, strict=True) if t == turn}
+    return {b: x for t, b, x in zip(turns, buckets, bits, strict=True) if t == turn}
+
+
+def bits_of(replies: pa.Table, turn: int, stretches: list[tuple[int, slice]], n: int) -> np.ndarray:
+    """The bits of one turn, in the order of the values asked about."""
+    by_bucket = bytes_of(replies, turn)
     out = np.zeros(n, dtype=bool)
     for b, s in stretches:
         out[s] = np.unpackbits(np.frombuffer(by_bucket[b], dtype=np.uint8), count=s.stop - s.start).astype(bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rollweave.llm import decontaminate, language, near_dedup, packing, quality_crf, quality_rules, substring, token_counts, token_files
+from rollweave.llm import decontaminate, language, near_dedup, packing, quality_crf, quality_rules, substring, suffix_dedup, token_counts, token_files
 from rollweave.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op2_quality_rules(spark, folder):
     return quality_rules.judge(table(spark, folder, "documents"))
 
 
+def op3_suffix_dedup(spark, folder):
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"), width=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_near_duplicates(spark, folder):
     return near_dedup.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
 
@@ -47,6 +52,6 @@ def op10_quality_classifier(spark, folder):
 
 
 QUERIES = {job.__name__: job for job in (
-    op1_language_id, op2_quality_rules, op4_near_duplicates, op5_best_fit_packing, op6_decontamination, op7_token_files,
+    op1_language_id, op2_quality_rules, op3_suffix_dedup, op4_near_duplicates, op5_best_fit_packing, op6_decontamination, op7_token_files,
     op8_substring_dedup, op9_token_counts, op10_quality_classifier)}
 SQL = {"op2_quality_rules": quality_rules.oracle()}

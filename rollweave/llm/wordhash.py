@@ -18,7 +18,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -66,7 +66,7 @@ def word_hashes(texts: list[str | None], fold: bool = False) -> Iterator[tuple[i
         if not space[0]:
             turn = np.concatenate([[0], turn])
         starts, ends = turn[0::2], turn[1::2]  # the last byte is white space, so every word ends
-        hashes = run_hashes(_BYTE[_LOWER[raw] if fold else raw], starts, ends)
+        hashes = run_hashes(BYTE_VALUES[_LOWER[raw] if fold else raw], starts, ends)
         first = np.cumsum([0] + [len(h) + 1 for h in held])
         yield at, np.split(hashes, np.searchsorted(starts, first[1:-1]))
         at = end

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from rollweave.llm.common import batch_of, bounded_batches, rows_of, texts
-from rollweave.llm.tokens import BYTE_LEVEL, CACHED_PIECES
+from rollweave.llm.tokens import BYTE_LEVEL, looked_up
 
 NO_RANK = np.iinfo(np.int32).max
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -112,13 +112,8 @@ class RankMerger:
             parts = self.is_special.split(text or "")
             extra.append(len(parts) - 1)
             cut.append([p for part in parts for p in self.pattern.findall(part)])
-        missing = list({p for c in cut for p in c if p not in self.cache})
-        if len(self.cache) + len(missing) > CACHED_PIECES:
-            self.cache.clear()
-            missing = list({p for c in cut for p in c})
-        self.cache.update(zip(missing, self.symbols([p.encode() for p in missing]).tolist(), strict=True))
-        known = self.cache
-        return [n + sum([known[p] for p in c]) for c, n in zip(cut, extra, strict=True)]
+        found = looked_up(cut, self.cache, lambda pieces: self.symbols([p.encode() for p in pieces]).tolist())
+        return [n + sum(f) for f, n in zip(found, extra, strict=True)]
 
 
 _MERGERS: dict[str, RankMerger] = {}

@@ -1,8 +1,8 @@
 """Token ids as Huffman-coded blocks, and the way back.
 
-Ids are counted over all documents; a canonical prefix code limited to ``max_bits`` (package-merge) is made
-of the counts, whose size the vocabulary bounds. Documents are dealt out by ranges of doc_id and written in
-ascending order as blocks of whole documents. A block stands alone: its code words end to end, and the bit
+Documents are dealt out by ranges of doc_id and tokenised once, in ascending order, to blocks of whole documents.
+Ids are counted over all blocks; a canonical prefix code limited to ``max_bits`` (package-merge) is made of the
+counts, whose size the vocabulary bounds, and each block is coded. A coded block stands alone: its code words end to end, and the bit
 offset of every ``CHECKPOINT``-th id, from which a reader decodes all stretches in step, one table look-up
 an id. Blocks are the rows of Parquet files in the shared folder (so that any store Spark writes to will
 do), beside them the table of code lengths; nothing else is needed to read them.
@@ -116,61 +116,70 @@ class Decoder:
         return out.T.ravel()[:n] if len(offsets) else np.empty(0, dtype=np.uint32)
 
 
-def id_counts(docs: DataFrame, tokenizer: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all documents, end ids included. The vocabulary bounds what comes back."""
+def id_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """Blocks with plain ids (little-endian unsigned 32-bit) as payload and no offsets, in ascending order of doc_id."""
+    end = np.array([end_id], dtype="<u4").tobytes()
 
-    def count(batches):
+    def gather(batches):
+        part, first, held, sizes, owners = TaskContext.get().partitionId(), 0, [], [], []
         encode = encoder(tokenizer, "word").encode
-        total = np.zeros(0, dtype=np.int64)
-        for _, some in rows_of(batches, "doc_id", "text"):
-            ids = np.frombuffer(b"".join(encode(some)), dtype="<u4")
-            more = np.bincount(ids, minlength=max(len(total), end_id + 1))
-            more[end_id] += len(some)
-            more[: len(total)] += total
-            total = more
+
+        def block():
+            return batch_of(_BLOCK, [part], [first], [sum(sizes)], [owners], [sizes], [b""], [b"".join(held)])
+
+        n = 0
+        for ids, some in rows_of(batches, "doc_id", "text"):
+            for doc, coded in zip(ids, encode(some), strict=True):
+                owners.append(doc)
+                held.append(coded + end)
+                sizes.append(len(held[-1]) // 4)
+                n += sizes[-1]
+                if n >= BLOCK_IDS:
+                    yield block()
+                    first, n, held, sizes, owners = first + n, 0, [], [], []
+        if owners:
+            yield block()
+
+    bounded_batches(docs.sparkSession)
+    return texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(gather, BLOCK_COLUMNS)
+
+
+def id_counts(blocks: DataFrame) -> np.ndarray:
+    """How often each id occurs. The vocabulary bounds what comes back."""
+
+    def count(batches):
+        total = np.zeros(1, dtype=np.int64)
+        for (payloads,) in rows_of(batches, "payload"):
+            for payload in payloads:
+                more = np.bincount(np.frombuffer(payload, dtype="<u4"), minlength=len(total))
+                more[: len(total)] += total
+                total = more
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], names=["id", "n"])
 
-    bounded_batches(docs.sparkSession)
-    found = texts(docs).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max([end_id, *(r["id"] for r in found)]) + 1, dtype=np.int64)
+    found = blocks.select("payload").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max([0, *(r["id"] for r in found)]) + 1, dtype=np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
     return counts
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, max_bits: int = 16) -> None:
-    """Writes ``path``/codes and ``path``/blocks."""
+    """Writes ``path``/codes and ``path``/blocks, and on the way ``path``/ids."""
     spark = docs.sparkSession
-    lengths = code_lengths(id_counts(docs, tokenizer, end_id), max_bits)
+    id_blocks(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(f"{path}/ids")
+    plain = spark.read.schema(BLOCK_COLUMNS).parquet(f"{path}/ids")
+    lengths = code_lengths(id_counts(plain), max_bits)
     words = code_words(lengths)
     code_rows = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(code_rows, "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
-    end = np.array([end_id], dtype="<u4").tobytes()
-
-    def encode(batches):
-        part, first, held, sizes, owners = TaskContext.get().partitionId(), 0, [], [], []
-        code = encoder(tokenizer, "word").encode
-
-        def block():
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
-            return batch_of(_BLOCK, [part], [first], [len(ids)], [list(owners)], [list(sizes)], *([x] for x in encode_block(ids, lengths, words)))
 
-        for ids, some in rows_of(batches, "doc_id", "text"):
-            for doc, coded in zip(ids, code(some), strict=True):
-                owners.append(doc)
-                held.append(coded + end)
-                sizes.append(len(coded) // 4 + 1)
-                if sum(sizes) >= BLOCK_IDS:
-                    yield block()
-                    first += sum(sizes)
-                    held, sizes, owners = [], [], []
-        if owners:
-            yield block()
+    def code(batches):
+        for batch in batches:
+            coded = [encode_block(np.frombuffer(p, dtype="<u4"), lengths, words) for p in batch.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array([c[k] for c in coded], pa.binary()) for k in (0, 1))], names=_BLOCK.names)
 
-    bounded_batches(spark)
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(encode, BLOCK_COLUMNS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    plain.mapInArrow(code, BLOCK_COLUMNS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -11,12 +11,14 @@ import regex
 # The byte-level pre-token pattern that byte-level BPE files use.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pieces at which the lower-casing word tokenizer always ends a pre-token: runs of full stops and commas
-# stand alone if their neighbours are letters, digits or white space.
+# stand alone if their neighbours are letters, digits or white space; words between white space always do.
 PLAIN_PIECES = re.compile(r"[^\s.,]+|[.,]+")
-NOT_PLAIN = re.compile(r"[^\w\s.,][.,]|[.,][^\w\s.,]|_[.,]|[.,]_|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+SPACED_PIECES = re.compile(r"\S+")
+NOT_PLAIN = re.compile(r"[^\w\s.,][.,]|[.,][^\w\s.,]|_[.,]|[.,]_")
+ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 UPPER = re.compile(r"[A-Z]+")
 
-CACHED_PIECES = 600_000
+CACHED_PIECES = 1_000_000
 
 
 class Encoder:
@@ -43,25 +45,37 @@ class Encoder:
             return None
         if self.kind == "byte":
             return self.byte_level.findall(text)
-        if NOT_PLAIN.search(text):
+        if ODD_SPACE.search(text):
             return None
-        return PLAIN_PIECES.findall(text.lower() if text.isascii() else UPPER.sub(lambda m: m[0].lower(), text))
+        lower = text.lower() if text.isascii() else UPPER.sub(lambda m: m[0].lower(), text)
+        return (SPACED_PIECES if NOT_PLAIN.search(text) else PLAIN_PIECES).findall(lower)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [[] if t is None else self.pieces(t) for t in texts]
-        missing = list({p for c in cut if c for p in c if p not in self.cache})
-        if len(self.cache) + len(missing) > CACHED_PIECES:
-            self.cache.clear()
-            missing = list({p for c in cut if c for p in c})
-        for at in range(0, len(missing), 5000):
-            some = missing[at : at + 5000]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(got.ids, dtype="<u4").tobytes()
-        known = self.cache
-        return [self.whole(t) if c is None else b"".join([known[p] for p in c]) for t, c in zip(texts, cut, strict=True)]
+        found = looked_up([c or [] for c in cut], self.cache, self._ids)
+        return [self.whole(t) if c is None else b"".join(f) for t, c, f in zip(texts, cut, found, strict=True)]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(got.ids, dtype="<u4").tobytes() for got in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+
+def looked_up(cut: list[list[str]], cache: dict, work_out) -> list[list]:
+    """The value of each piece of each list. work_out gives the values of new pieces; the cache takes them while it has room."""
+    found = [list(map(cache.get, c)) for c in cut]
+    lacking = [k for k, f in enumerate(found) if None in f]
+    missing = list({p for k in lacking for p, v in zip(cut[k], found[k], strict=True) if v is None})
+    new = {}
+    for at in range(0, len(missing), 5000):
+        some = missing[at : at + 5000]
+        new.update(zip(some, work_out(some), strict=True))
+    for k in lacking:
+        found[k] = [new[p] if v is None else v for p, v in zip(cut[k], found[k], strict=True)]
+    if len(cache) + len(new) <= CACHED_PIECES:
+        cache.update(new)
+    return found
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

@@ -89,7 +89,8 @@ def _segments(cut: DataFrame, window: int) -> DataFrame:
     at = F.struct("_t", "_id")
     past = F.coalesce(at >= F.col("_cut"), F.lit(False))
     seed = ~past & (F.col("_t") > F.col("_cut._t") - window) & F.col("_cut").isNotNull()
-    joined = cut.join(carried, ["_key", "_block"])
+    mine, known = cut.alias("c"), carried.alias("k")  # NULL is a key like any other
+    joined = mine.join(known, F.expr("c._key <=> k._key AND c._block = k._block")).select("c.*", "k._carried")
     role = F.array_compact(F.array(
         F.when(own, F.struct(F.when(past, F.col("_block")).otherwise(F.col("_carried")).alias("_segment"),
                              F.lit(False).alias("_seed"))),
@@ -106,7 +107,8 @@ def _decide(max_requests: int, window: int):
         current, decider = None, None
         for pdf in batches:
             out = []
-            for key, seg, t, i, seed in zip(pdf["_key"], pdf["_segment"], pdf["_t"], pdf["_id"], pdf["_seed"]):
+            keys = pdf["_key"].astype(object).where(pdf["_key"].notna(), None)  # NaN is not equal to itself
+            for key, seg, t, i, seed in zip(keys, pdf["_segment"], pdf["_t"], pdf["_id"], pdf["_seed"]):
                 if (key, seg) != current:
                     current, decider = (key, seg), Decider(max_requests, window)
                 if seed:
@@ -128,10 +130,11 @@ def rate_limit(
     Ordering happens per (key, time block), so a hot key is many tasks; the final in-order
     pass runs per segment between cuts with a log of at most ``max_requests`` times in
     memory. Only a key that stays over its limit without a break is one sequential pass.
+    Requests without a key count together; one without a time is refused (retry NULL).
     """
     window = int(window_seconds * 1_000_000)
     rows = log.select(F.col(key).alias("_key"), _micros(F.col(ts)).alias("_t"), F.col(request_id).alias("_id"))
-    parted = _replicate(rows, WINDOWS_PER_BLOCK * window, window)
+    parted = _replicate(rows.where("_t IS NOT NULL"), WINDOWS_PER_BLOCK * window, window)
     # The block window and the join below share this partitioning.
     segments = _segments(_cut(parted, max_requests, window), window)
     ordered = segments.repartition("_key", "_segment").sortWithinPartitions(
@@ -142,6 +145,8 @@ def rate_limit(
         _decide(max_requests, window),
         f"_key {types['_key']}, _id {types['_id']}, _t bigint, allowed boolean, remaining int, retry_after_seconds int",
     )
-    return decided.select(
+    untimed = rows.where("_t IS NULL").select(
+        "_key", "_id", F.lit(False).alias("allowed"), F.lit(0).alias("remaining"), F.lit(None).cast("int").alias("retry_after_seconds"))
+    return decided.drop("_t").unionByName(untimed).select(
         F.col("_key").alias(key), F.col("_id").alias(request_id), "allowed", "remaining", "retry_after_seconds"
     )

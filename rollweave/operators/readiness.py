@@ -77,15 +77,15 @@ def scope_counts(voters: DataFrame, acs: DataFrame, stations: DataFrame, by: str
     if by == "part":
         keys.append("part_number")
         scoped = scoped.where(F.col("part_number").isNotNull())
-    per_flag = scoped.groupBy(*keys, "data_quality").agg(F.sum("n").alias("n"))
-    ok = F.col("data_quality") == "ok"
+    # A missing quality is shown as unknown, beside records that say so, but is neither ok nor an issue.
+    per_flag = scoped.groupBy(*keys, F.coalesce("data_quality", F.lit("unknown")).alias("flag")).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("data_quality").isNotNull(), F.col("n"))).alias("known"))
+    ok = F.col("flag") == "ok"
     return per_flag.groupBy(*keys).agg(
         F.sum("n").alias("voter_records"),
         F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("ok_records"),
-        F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("issue_records"),
-        F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct(F.coalesce("data_quality", F.lit("unknown")).alias("flag"), "n")
-        ))).alias("quality_summary"),
+        F.coalesce(F.sum(F.when(~ok, F.col("known"))), F.lit(0)).alias("issue_records"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("flag", "n")))).alias("quality_summary"),
     )
 
 

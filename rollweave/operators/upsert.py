@@ -81,14 +81,20 @@ def select_states(states: DataFrame, state_id: str | None = None) -> DataFrame:
 
 
 def seed_states(target: DataFrame, states: DataFrame, state_id: str | None = None) -> DataFrame:
+    """Registry states put into the table; ValueError if there is none, or none of that id."""
+    if select_states(states, state_id).isEmpty():
+        raise ValueError("no states to seed" if state_id is None else f"unknown state: {state_id}")
     return merge_rows(target, select_states(states, state_id), ["state_id"])
 
 
 def append_new(existing: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(merged, rejected): rows whose key exists already are rejected, not replaced."""
-    known = existing.select(key).distinct()
-    added = new.join(known, key, "left_anti").select(*existing.columns)
-    rejected = new.join(known, key, "left_semi").withColumn(
-        "error", F.concat(F.lit(f"{key} already exists in manifest: "), F.col(key))
+    """(merged, rejected): rows whose key exists already, or comes twice in ``new``, are
+    rejected, not replaced; of several new rows with a key the smallest is added."""
+    known = existing.select(key).distinct().withColumn("_known", F.lit(True))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c) for c in existing.columns if c != key]))
+    placed = new.withColumn("_nth", nth).join(known, key, "left").withColumn(
+        "_new", F.col("_known").isNull() & ((F.col("_nth") == 1) | F.col(key).isNull()))
+    added = placed.where("_new").select(*existing.columns)
+    rejected = placed.where("NOT _new").select(*new.columns).withColumn(        "error", F.concat(F.lit(f"{key} already exists in manifest: "), F.col(key))
     )
     return existing.unionByName(added), rejected

@@ -8,7 +8,7 @@ from rollweave.functions.text import fingerprint
 from rollweave.operators import crossroll
 from rollweave.plans import Catalog, table
 from rollweave.plans.loaded import CTES, loaded
-from rollweave.plans.scalars import SALT, duck_similarity, duck_trigrams
+from rollweave.plans.scalars import SALT, duck_similarity, duck_soundex, duck_trigrams
 from rollweave.plans.searching import NAME
 
 _ID = "concat('MT/07/', lpad(concat('', o_custkey % 1000), 3, '0'), '/', lpad(concat('', o_custkey), 7, '0'))"
@@ -54,16 +54,36 @@ def register(catalog: Catalog) -> None:
     def coded(spark, folder):
         return crossroll.with_search_columns(named_parts(spark, folder), "name_normalized", "relative_name_normalized")
 
-    @catalog.add("phonetic_lookup")  # DuckDB has no soundex
+    name, asked_name = f"lower({NAME})", "'smal boldt'"
+    same_code = f"{duck_soundex(name)} = {duck_soundex(asked_name)}"
+
+    @catalog.add("phonetic_lookup", f"""
+        SELECT p_partkey AS voter_record_id, {name} AS name_normalized FROM part WHERE p_brand = 'Brand#3' AND {same_code}
+        ORDER BY CAST(p_partkey AS INT), p_partkey LIMIT 20""")
     def phonetic_lookup(spark, folder):
         return crossroll.phonetic_lookup(coded(spark, folder), F.col("ac_id") == "Brand#3", "smal boldt").select("voter_record_id", "name_normalized")
 
-    @catalog.add("combined_score")
+    @catalog.add("combined_score", f"""
+        WITH g AS (SELECT p_partkey, {duck_trigrams(name)} AS a, {duck_trigrams(asked_name)} AS b, {same_code} AS same FROM part WHERE p_brand = 'Brand#3'),
+        s AS (SELECT p_partkey, greatest(CAST({duck_similarity('a', 'b')} AS DOUBLE), CASE WHEN same THEN 0.7 ELSE 0.0 END) AS score FROM g)
+        SELECT p_partkey AS voter_record_id, round(score, 4) AS score FROM s WHERE score >= 0.3 ORDER BY s.score DESC, p_partkey LIMIT 20""")
     def combined_score(spark, folder):
         got = crossroll.combined_score(coded(spark, folder), F.col("ac_id") == "Brand#3", "smal boldt")
         return got.select("voter_record_id", F.round("score", 4).alias("score"))
 
-    @catalog.add("two_phase_search", None)
+    asked_sql = ("concat(CASE s_suppkey % 3 WHEN 0 THEN 'red widgt' WHEN 1 THEN 'old bolt' ELSE 'smal ring' END, ' ', s_suppkey % 50)")
+
+    @catalog.add("two_phase_search", f"""
+        WITH q AS (SELECT s_suppkey AS query_id, concat('Brand#', s_suppkey % 25 + 1) AS ac, {asked_sql} AS query FROM supplier),
+        qg AS (SELECT *, {duck_trigrams('query')} AS a, {duck_soundex('query')} AS qc FROM (SELECT DISTINCT ac, query FROM q)),
+        ng AS (SELECT *, {duck_trigrams('name')} AS b, {duck_soundex('name')} AS nc FROM (SELECT p_partkey, p_brand, {name} AS name FROM part)),
+        m AS (SELECT ac, query, name, p_partkey, qc = nc AS same, {duck_similarity('a', 'b')} AS score FROM qg JOIN ng ON ac = p_brand),
+        f AS (SELECT *, row_number() OVER (PARTITION BY ac, query ORDER BY score DESC, p_partkey) AS rn FROM m WHERE CAST(score AS DOUBLE) >= 0.3),
+        r AS (SELECT *, round(0.6 * CAST(score AS DOUBLE) + 0.3 * (len(list_intersect(string_split(query, ' '), string_split(name, ' '))) * 1.0
+            / len(list_distinct(string_split(query, ' ')))) + CASE WHEN same THEN 0.1 ELSE 0.0 END, 6) AS rank_score FROM f WHERE rn <= 200),
+        t AS (SELECT query_id, p_partkey, score, rank_score, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, p_partkey) AS rank
+            FROM q JOIN r ON q.ac = r.ac AND q.query = r.query)
+        SELECT query_id, rank, p_partkey AS voter_record_id, round(CAST(score AS DOUBLE), 4) AS score, rank_score FROM t WHERE rank <= 20""")
     def two_phase_search(spark, folder):
         asked = table(spark, folder, "supplier").selectExpr(
             "s_suppkey AS query_id", "concat('Brand#', s_suppkey % 25 + 1) AS ac_id",

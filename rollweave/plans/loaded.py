@@ -228,3 +228,13 @@ def register(catalog: Catalog) -> None:
         new = table(spark, folder, "customer").selectExpr("c_custkey AS source_id", "c_name AS source_label", "'added' AS outcome")
         merged, rejected = upsert.append_new(old, new, "source_id")
         return merged.unionByName(rejected.drop("error").withColumn("outcome", F.lit("rejected")))
+
+    # Ids that the existing rows have, and ids that come again within the new ones.
+    @catalog.add("manifest_append_rejected", """
+        WITH new AS (SELECT c_custkey % 90 AS source_id, c_name AS source_label, row_number() OVER (PARTITION BY c_custkey % 90 ORDER BY c_name) AS nth FROM customer)
+        SELECT source_id, source_label, 'source_id already exists in manifest: ' || source_id AS error FROM new
+        WHERE nth > 1 OR source_id IN (SELECT p_partkey * 2 FROM part)""")
+    def manifest_append_rejected(spark, folder):
+        old = table(spark, folder, "part").selectExpr("p_partkey * 2 AS source_id", "p_name AS source_label")
+        new = table(spark, folder, "customer").selectExpr("c_custkey % 90 AS source_id", "c_name AS source_label")
+        return upsert.append_new(old, new, "source_id")[1]

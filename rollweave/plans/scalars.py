@@ -10,7 +10,6 @@ from rollweave.operators.lines import decode_bold, has_bold
 from rollweave.plans import Catalog, table
 from rollweave.sources.writers import enrich_names
 from rollweave.plans.standins import GLYPH_NAMES, glyph_name
-from rollweave.session import spread
 
 # A messy name: mixed case, doubled blanks, a tab, letters that case-fold specially.
 MESSY = "concat('  ', c_name, '   ', c_mktsegment, chr(9), CASE WHEN c_custkey % 5 = 0 THEN 'Straße µ' ELSE 'É  ' END)"
@@ -34,6 +33,16 @@ def duck_trigrams(c: str) -> str:
     )
 
 
+def duck_soundex(c: str) -> str:
+    """The four-character code in SQL: letters to digits, H and W skipped, runs to one, vowels dropped."""
+    digits = f"translate(regexp_replace(upper({c}), '[^A-Z]', '0', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202')"
+    runs = f"substring({digits}, 1, 1) || replace(substring({digits}, 2), '7', '')"
+    for digit in "0123456":
+        runs = f"regexp_replace({runs}, '{digit}+', '{digit}', 'g')"
+    code = f"upper(substring({c}, 1, 1)) || rpad(substring(replace(substring({runs}, 2), '0', ''), 1, 3), 3, '0')"
+    return f"CASE WHEN regexp_matches({c}, '^[A-Za-z]') THEN {code} ELSE {c} END"
+
+
 def duck_similarity(a: str, b: str) -> str:
     common = f"len(list_intersect({a}, {b}))"
     union = f"(len({a}) + len({b}) - {common})"
@@ -157,7 +166,7 @@ def register(catalog: Catalog) -> None:
     @catalog.add("name_enrich", f"SELECT o_orderkey, {two(dev_sql)} AS voter_name_dev, {two(latin_sql)} AS voter_name_en FROM orders")
     def name_enrich(spark, folder):
         name = f"concat({glyph_name('o_custkey')}, ' ', o_orderkey % 97, ' ', {glyph_name('o_orderkey')})"
-        orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey"))
+        orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
         df = orders.selectExpr("o_orderkey", f"{name} AS voter_name")
         return enrich_names(df, ("voter_name",)).drop("voter_name")
 

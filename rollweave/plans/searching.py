@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from rollweave.operators import scan, search
 from rollweave.plans import Catalog, table
 from rollweave.plans.scalars import duck_similarity, duck_trigrams, search_records
-from rollweave.session import spread
 
 # Longer, more varied names than the part table has alone.
 NAME = "concat(p_name, ' ', lower(p_type), ' ', p_size)"
@@ -77,6 +76,15 @@ def register(catalog: Catalog) -> None:
     def substring_search(spark, folder):
         return search.substring_search(search_records(spark, folder), "ST-7", 7, "  MER#00000 ", limit=12)
 
+    @catalog.add("anchored_scan", """
+        WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+        lines AS (SELECT doc_id, generate_subscripts(a, 1) AS line_no, unnest(a) AS line FROM cut)
+        SELECT doc_id, line_no, 'opening' AS label, substring(line, 1, 160) AS excerpt FROM lines WHERE regexp_matches(line, '^The ')
+        UNION ALL SELECT doc_id, line_no, 'closing', substring(line, 1, 160) FROM lines WHERE regexp_matches(line, 'on\\.$')""")
+    def anchored_scan(spark, folder):
+        texts = table(spark, folder, "documents").select("doc_id", "text")
+        return scan.sensitive_scan(texts, "doc_id", patterns=(("opening", "^The ", False), ("closing", "on\\.$", False)))
+
     # -- scans --------------------------------------------------------------------------
     hit = ", ".join(f"CASE WHEN regexp_matches(line, {_duck_line(p, bl)}) THEN '{label}' END" for label, p, bl in SCAN_PATTERNS)
     found = f"""
@@ -86,11 +94,11 @@ def register(catalog: Catalog) -> None:
 
     @catalog.add("sensitive_scan", found + " SELECT doc_id, line_no, label, substring(line, 1, 160) AS excerpt FROM hits")
     def sensitive_scan(spark, folder):
-        return scan.sensitive_scan(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", patterns=SCAN_PATTERNS)
+        return scan.sensitive_scan(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", patterns=SCAN_PATTERNS)
 
     @catalog.add("sensitive_summary", found + " SELECT label, count(*) AS findings FROM hits GROUP BY label")
     def sensitive_summary(spark, folder):
-        return scan.scan_summary(scan.sensitive_scan(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", patterns=SCAN_PATTERNS))
+        return scan.scan_summary(scan.sensitive_scan(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", patterns=SCAN_PATTERNS))
 
     path = (
         "concat(CASE CAST(page_id AS INT) % 12 WHEN 0 THEN 'data/' WHEN 1 THEN 'samples/regions/' WHEN 2 THEN 'src/node_modules/' WHEN 3 THEN 'dist/' "

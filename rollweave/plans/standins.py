@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from rollweave.session import spread
 
 # Names in the legacy glyph code, in Devanagari and in Latin (fixed values).
 GLYPH_NAMES = (
@@ -75,7 +74,7 @@ PAGES_SQL = f"SELECT {DOC} AS doc_id, {PAGE} AS page_no, {PAGE_TEXT} AS text FRO
 
 def page_text(spark, folder):
     orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return spread(orders).selectExpr(
+    return orders.selectExpr(
         f"{DOC} AS doc_id", f"{PAGE} AS page_no", f"{PAGE_TEXT} AS text"
     )
 
@@ -119,7 +118,7 @@ def cover_pages(spark, folder):
     """The three pages of every customer's document, with some bold printing on the cover."""
     texts = f"array({COVER}, {SECOND}, {SUMMARY})"
     customers = spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", "c_mktsegment")
-    rows = spread(customers).selectExpr(
+    rows = customers.selectExpr(
         "c_custkey AS doc_id", f"posexplode({texts}) AS (p, t)"
     )
     return rows.selectExpr(

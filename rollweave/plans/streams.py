@@ -31,6 +31,16 @@ def register(catalog: Catalog) -> None:
     def rate_limit(spark, folder):
         return limiter.rate_limit(table(spark, folder, "events"), "user_id", "ts", "event_id", MAX_REQUESTS, WINDOW_SECONDS)
 
+    nobody = LIMIT_SQL.replace("FROM events", "FROM (SELECT CASE WHEN event_id % 101 = 0 THEN -1 ELSE user_id END AS user_id, event_id, ts FROM events WHERE event_id % 7 <> 0)")
+
+    @catalog.add("limiter_null_keys", f"""
+        SELECT nullif(user_id, -1) AS user_id, event_id, allowed, remaining, retry_after_seconds FROM ({nobody})
+        UNION ALL SELECT CASE WHEN event_id % 101 = 0 THEN NULL ELSE user_id END, event_id, false, 0, NULL FROM events WHERE event_id % 7 = 0""")
+    def limiter_null_keys(spark, folder):
+        log = table(spark, folder, "events").selectExpr(
+            "event_id", "CASE WHEN event_id % 101 <> 0 THEN user_id END AS user_id", "CASE WHEN event_id % 7 <> 0 THEN ts END AS ts")
+        return limiter.rate_limit(log, "user_id", "ts", "event_id", MAX_REQUESTS, WINDOW_SECONDS)
+
     @catalog.add("rate_limit_stream", LIMIT_SQL)
     def rate_limit_streaming(spark, folder):
         schema = table(spark, folder, "events").schema

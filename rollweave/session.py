@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +22,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A single-machine session for tests and benches."""
-    spark = (
+def local_session(cores: str = "*", shuffle_partitions: int = 8, scratch: str | None = None) -> SparkSession:
+    """A single-machine session for tests and benches. scratch: the folder for staged tables."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("rollweave")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -33,25 +32,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    spark = (builder.config("spark.checkpoint.dir", scratch) if scratch else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
-
-    Only a session without ``spark.checkpoint.dir`` (a test on one machine) gets a
-    temporary folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="rollweave-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or the warehouse where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -68,13 +57,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt out to all cores.
-
-    For row-by-row work that costs far more than moving the rows. A large scan has splits
-    enough and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

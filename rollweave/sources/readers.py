@@ -27,6 +27,11 @@ def manifest_entries(documents: DataFrame) -> DataFrame:
     return last_per_key(filled, ["source_id"], ["file", "pos"]).drop("file", "pos")
 
 
+def malformed_manifests(documents: DataFrame) -> DataFrame:
+    """``file, error`` of the documents that ``manifest_entries`` gets no entries from."""
+    return documents.where("sources IS NULL").select("file", F.lit("sources is missing or not a list").alias("error"))
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     docs = spark.read.schema(schemas.MANIFEST_DOCUMENT).option("multiLine", True).json(path)
     return manifest_entries(docs.withColumn("file", F.col("_metadata.file_path")))

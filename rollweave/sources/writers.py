@@ -23,21 +23,24 @@ def export_name(ac: str = "ac_number", part: str = "part_number", year: str = "y
     return F.format_string("ac%03d_part%03d_%d", F.col(ac), F.col(part), F.col(year))
 
 
+def _by_folder(df: DataFrame, *folders: str):
+    """A writer that replaces the folders it has rows for and leaves all others; few files a folder."""
+    return df.hint("rebalance", *folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders)
+
+
 def export_json(voters: DataFrame, path: str) -> None:
     """Records as JSON lines in one folder per constituency, part and year."""
-    voters.write.mode("overwrite").partitionBy("ac_number", "part_number", "year").json(path)
+    _by_folder(voters, "ac_number", "part_number", "year").json(path)
 
 
 def export_documents(metadata: DataFrame, path: str) -> None:
-    """Document metadata and totals beside the records, in the same folders."""
-    metadata.write.mode("overwrite").partitionBy("ac_number", "part_number", "year").json(path)
+    """Document metadata and totals, in a tree of their own (not the records')."""
+    _by_folder(metadata, "ac_number", "part_number", "year").json(path)
 
 
 def export_csv(voters: DataFrame, path: str) -> None:
     cols = [c for c in EXPORT_COLUMNS if c in voters.columns]
-    voters.select(
-        *cols, export_name().alias("file")
-    ).write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
+    _by_folder(voters.select(*cols, export_name().alias("file")), "file").option("header", True).csv(path)
 
 
 def enrich_names(df: DataFrame, columns: tuple[str, ...] = ("voter_name", "relative_name")) -> DataFrame:
@@ -59,8 +62,9 @@ class TableStore:
     Every table is split into folders by ``slice``, a hash range, so a load rewrites only the
     slices its rows fall into. New folders are written beside
     the old ones; one small JSON document names the current folder of every slice and is
-    written last, which makes the load all-or-nothing for readers. Old folders stay until
-    the caller removes them.
+    written last, which makes the load all-or-nothing for readers (on a store that creates a
+    file only if it is absent). Old folders stay until the caller removes them. The number of
+    slices is kept in that document: a store that exists goes on with its own.
     """
 
     def __init__(self, spark: SparkSession, root: str, slices: int = 256):
@@ -77,13 +81,17 @@ class TableStore:
             s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json")
         )
 
-    def current(self) -> dict[str, dict[str, str]]:
-        """table -> slice -> folder of the last committed load."""
-        heads = self._heads()
+    def _read(self, heads: list[str]) -> dict[str, dict[str, str]]:
         if not heads:
             return {}
         rows = self.spark.read.text(f"{self.root}/_heads/{heads[-1]}", wholetext=True)
-        return json.loads(rows.first()["value"])
+        head = json.loads(rows.first()["value"])
+        self.slices = head["slices"]
+        return head["tables"]
+
+    def current(self) -> dict[str, dict[str, str]]:
+        """table -> slice -> folder of the last committed load."""
+        return self._read(self._heads())
 
     def table(self, name: str, slices: list[str] | None = None) -> DataFrame:
         folders = self.current().get(name, {})
@@ -109,8 +117,8 @@ class TableStore:
 
     def load(self, batch: dict[str, DataFrame]) -> dict[str, int]:
         """Upsert all tables of a batch; returns the number of slices rewritten per table."""
-        head = self.current()
-        version = f"{len(self._heads()):012d}"
+        heads = self._heads()  # one listing: the version follows the head that is changed
+        head, version = self._read(heads), f"{len(heads):012d}"
         tag = f"{version}-{uuid.uuid4().hex}"
         touched = {}
         for name in [t for t in ("states", *schemas.LOAD_ORDER) if t in batch]:
@@ -137,5 +145,5 @@ class TableStore:
         target = self._path(f"{self.root}/_heads/{version}.json")
         # create(path, overwrite=False) fails if another load committed this version first.
         out = self._fs.create(target, False)
-        out.write(bytearray(json.dumps(head, sort_keys=True).encode("utf-8")))
+        out.write(bytearray(json.dumps({"slices": self.slices, "tables": head}, sort_keys=True).encode("utf-8")))
         out.close()

@@ -59,6 +59,11 @@ def rate_limit_stream(
     return decided.withColumnsRenamed({"_key": key, "_id": request_id})
 
 
+def rejected_documents(store: TableStore) -> DataFrame:
+    """Documents that loads turned away, with their messages and the number of the batch."""
+    return store.spark.read.parquet(f"{store.root}/_rejected")
+
+
 def stream_load(
     pages: DataFrame, describe: Callable[[DataFrame], DataFrame], store: TableStore, salt: str,
     checkpoint: str, layout: RollLayout = LEGACY_2002,
@@ -66,7 +71,8 @@ def stream_load(
     """Loads every document that arrives; repeated documents replace themselves.
 
     A document must arrive whole, as one file does. ``describe`` turns the pages of a
-    micro-batch into its ``roll_documents`` rows. Extracted records are written once below
+    micro-batch into its ``roll_documents`` rows. Documents that don't reconcile are kept with
+    their messages in ``_rejected`` below the store (see ``rejected_documents``). Extracted records are written once below
     the store and read back by the steps that need them.
     """
 
@@ -74,7 +80,8 @@ def stream_load(
         records = f"{store.root}/_extracted/{number:09d}"
         lines.extract_voters(lines.page_lines(batch), layout, staged=True).write.mode("overwrite").parquet(records)
         voters = batch.sparkSession.read.parquet(records)
-        accepted, _ = ingest.split_reconciled(ingest.reconcile(describe(batch), voters))
+        accepted, rejected = ingest.split_reconciled(ingest.reconcile(describe(batch), voters))
+        rejected.write.mode("overwrite").parquet(f"{store.root}/_rejected/batch={number:09d}")
         store.load(ingest.fan_out(accepted, voters, salt))
 
     return (

@@ -107,7 +107,7 @@ def guidance_cards(requests: DataFrame, states: DataFrame, forms: DataFrame, doc
         F.transform("actions", lambda a: _labels(a, c("_forms"))).alias("actions"),
         F.flatten(F.transform("documents", lambda d: F.when(
             d.startswith("@"),
-            F.coalesce(c("_docs")[F.substring(d, 2, 99)], F.array().cast("array<string>")),
+            F.coalesce(c("_docs")[d.substr(F.lit(2), F.length(d))], F.array().cast("array<string>")),
         ).otherwise(F.array(d)))).alias("documents"),
     )
     schedule = states.select("state_id", "sir_schedule", F.lit(True).alias("_known"))

@@ -326,12 +326,11 @@ def register(catalog: Catalog) -> None:
 
     @catalog.add("forms_payload", """
         SELECT (SELECT string_agg(label, '|' ORDER BY id) FROM (SELECT CASE n_nationkey WHEN 1 THEN 'form_6' WHEN 2 THEN 'form_7' WHEN 3 THEN 'form_8' ELSE 'form_n' || n_nationkey END AS id, 'Form ' || n_name AS label FROM nation)) AS labels,
-               (SELECT count(*) FROM region) AS categories, (SELECT count(*) FROM customer) AS requests""")
+               (SELECT count(*) FROM region) AS categories""")
     def forms_payload(spark, folder):
         row = registry.forms_payload(*forms_rows(spark, folder))
-        asked = table(spark, folder, "customer").agg(F.count("*").alias("requests"))
         return row.select(F.array_join(F.transform("forms", lambda f: f["label"]), "|").alias("labels"),
-                          F.size("common_documents").alias("categories")).join(asked, F.lit(True))
+                          F.size("common_documents").alias("categories"))
 
     # -- requests ------------------------------------------------------------------------
     gate = {

@@ -2,16 +2,18 @@
 
 One hash function orders all shingles; a document's sketch is its ``SKETCH`` smallest. Documents with
 equal shingle sets are one class (pre-aggregated), of which only the representative goes on. Inverted lists
-of the retained values give candidates. Two linked sets share at least ``LEAST_SHARED`` retained values (at
-48 values and a similarity of 0.8, less than one pair in 10**8 does not), so it is enough to list each
+of the retained values give candidates. Two linked sets share at least as many retained values as lie six
+deviations below the expected number (about one pair in 10**8 does not), so it is enough to list each
 document under its rarest values, as many as leave fewer than that many out: very common values hardly ever
 are. The union's sketch then estimates the similarity of a candidate pair, and the exact comparison of full
 sets decides.
 
-A list is not expanded into all pairs: in each round the members of a list that do not yet belong together are
-compared with one of them, and what links is merged; a list whose members all belong together is done.
-When few pairs between different components are left, they are all compared, so no link between different
-components is missed.
+A list is not expanded into all pairs: in each round its ``HUBS`` next members, those first whose values are the
+most widely shared (as an original's are among its copies), are compared with the members that do not yet
+belong to them, and what links is merged; a list whose members all belong together is done. After the first
+round, the shingles that only one of the documents left has are counted: a pair can share no more than the others,
+which rules out most members whose own words keep them apart from all. When few pairs between different
+components are left, they are all compared, so no link between different components is missed.
 
 Defined results: no words or NULL text is an empty set, linked with nothing; fewer words than a shingle are
 one shingle; rows that repeat a doc_id are one node and each get a row; a row with NULL doc_id is linked with
@@ -21,6 +23,8 @@ hashes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,13 +35,24 @@ from rollweave.llm.components import components
 from rollweave.llm.wordhash import mixed, shingle_set, word_hashes
 
 SKETCH = 48
-LEAST_SHARED = 20
-# Rounds of comparing with one member end when so many pairs for each list entry are left, or after so many rounds.
-PAIRS_AN_ENTRY = 4
+HUBS = 4
+BITS = 2048
+# Rounds of comparing with hubs end when so few pairs for each list entry are left (from the second round on, when the
+# bitmaps rule nearly all of them out, LATER times as many), when a round has linked less than this share of the
+# pairs it compared, or after so many rounds.
+PAIRS_AN_ENTRY = 2
+LATER = 50
+LINKED_SHARE = 0.02
 MOST_ROUNDS = 8
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
 
+def least_shared(percent: int) -> int:
+    """Retained values that the union sketch of a linked pair shares at least."""
+    p = percent / 100
+    return math.floor(SKETCH * p - 6 * math.sqrt(SKETCH * p * (1 - p)))
+
+
 def features(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit print of the set, and its sketch."""
 
@@ -54,28 +69,30 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 def _listed(percent: int) -> F.Column:
     """How many of its rarest values a document is listed under: columns n_shingles, _size (of its sketch)."""
     # A linked partner has at most n * 100 / percent shingles; so many of its values may lie beyond its sketch.
-    shared = F.expr(f"CASE WHEN n_shingles >= {SKETCH} THEN {LEAST_SHARED} ELSE greatest(1, "
+    shared = F.expr(f"CASE WHEN n_shingles >= {SKETCH} THEN {least_shared(percent)} ELSE greatest(1, "
                     f"ceil(n_shingles * {percent} / 100) - greatest(0, floor(n_shingles * 100 / {percent}) - {SKETCH})) END")
     return F.col("_size") - shared + 1
 
 
 def index(sketches: DataFrame, percent: int) -> DataFrame:
-    """value, rep, n_shingles: the inverted lists with two members or more, each rep under its rarest values."""
+    """value, rep, n_shingles, place: the inverted lists with two members or more, each rep under its rarest values."""
     spread = sketches.select("rep", "n_shingles", F.size("sketch").alias("_size"), F.explode("sketch").alias("value"))
     common = spread.groupBy("value").agg(F.count("*").alias("_df")).where("_df > 1")
     own = Window.partitionBy("rep")
     placed = spread.join(common, "value").withColumns({
-        "_rank": F.row_number().over(own.orderBy("_df", "value")), "_there": F.count("*").over(own)})
+        "_rank": F.row_number().over(own.orderBy("_df", "value")), "_there": F.count("*").over(own), "_weight": F.sum("_df").over(own)})
     # Values that no other document has are the rarest and come first.
-    return placed.where(F.col("_size") - F.col("_there") + F.col("_rank") <= _listed(percent)).select("value", "rep", "n_shingles")
+    listed = placed.where(F.col("_size") - F.col("_there") + F.col("_rank") <= _listed(percent))
+    order = Window.partitionBy("value").orderBy(F.desc("_weight"), "rep")
+    return listed.select("value", "rep", "n_shingles", (F.row_number().over(order) - 1).alias("place"))
 
 
-def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose union sketch shares enough."""
     a, b = (sketches.select(F.col("rep").alias(x), F.col("sketch").alias(f"_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").withColumn("_union", F.slice(F.array_sort(F.array_union("_a", "_b")), 1, SKETCH))
     shared = F.size(F.array_intersect(F.array_intersect("_a", "_b"), "_union"))
-    return both.where(shared * SKETCH >= LEAST_SHARED * F.size("_union")).select("a", "b")
+    return both.where(shared * SKETCH >= least_shared(percent) * F.size("_union")).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -98,6 +115,38 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def bitmaps(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """doc_id, bits: which of ``BITS`` classes of shingles each of the given documents holds; NULL if its rows differ."""
+    schema = pa.schema([("doc_id", pa.int64()), ("bits", pa.list_(pa.int64()))])
+
+    def mark(batches):
+        for ids, some in rows_of(batches, "doc_id", "text"):
+            sets = [shingle_set(w, width) for _, part in word_hashes(some, fold=True) for w in part]
+            yield batch_of(schema, ids, [np.packbits(np.bincount(s % BITS, minlength=BITS) > 0).view("<i8") for s in sets])
+
+    marked = only_ids(texts(docs), reps).mapInArrow(mark, "doc_id long, bits array<long>")
+    return marked.groupBy("doc_id").agg(F.min("bits").alias("bits"), F.max("bits").alias("_most")).select(
+        "doc_id", F.when(F.col("bits") == F.col("_most"), F.col("bits")).alias("bits"))
+
+
+def apart(a: str, b: str) -> F.Column:
+    """In how many bits two bitmaps differ."""
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(BITS // 64)), F.lit(0))
+
+
+def shareable(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """rep, alone: how many shingles no other of the given documents has. reps: a saved table of distinct doc_ids."""
+    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def sets(batches):
+        for ids, some in rows_of(batches, "doc_id", "text"):
+            yield batch_of(schema, ids, [shingle_set(w, width) for _, part in word_hashes(some, fold=True) for w in part])
+
+    each = only_ids(texts(docs), reps).mapInArrow(sets, "rep long, shingles array<long>").select("rep", F.explode("shingles").alias("s"))
+    single = each.groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    return single.groupBy("rep").agg(F.count("*").alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (it is the component's)."""
     found = saved(features(docs, width), "features")
@@ -110,30 +159,48 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         ["rep", "n_shingles"]), "sketches")
     lists = saved(index(sketches, percent), "lists")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        likely = saved(estimated(saved(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"), sketches), "likely")
-        return saved(verified(likely, docs, width, percent), "links")
+    def confirmed(pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """(links, whether there were few)."""
+        distinct = saved(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        links = saved(verified(saved(estimated(distinct, sketches, percent), "likely"), docs, width, percent), "links")
+        return links, links.count() < LINKED_SHARE * distinct.count()
 
-    links, labels = None, None
+    labels, idle, entries = None, False, lists.withColumns({"label": F.col("rep"), "most": F.col("n_shingles"), "bits": F.lit(None).cast("array<long>")})  # most: shingles that another may share
     for turn in range(MOST_ROUNDS + 1):
-        entries = lists.withColumn("label", F.col("rep")) if labels is None else lists.join(
-            labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        if turn == 1:
+            reps_left = saved(entries.select(F.col("rep").alias("doc_id")).distinct(), "left")
+            alone = shareable(docs, reps_left, width).withColumnRenamed("rep", "doc_id")
+            known = reps_left.join(alone, "doc_id", "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            known = known.join(bitmaps(docs, reps_left, width), "doc_id").select(
+                F.col("doc_id").alias("rep"), F.coalesce("label", "doc_id").alias("label"), F.coalesce("alone", F.lit(0)).alias("alone"), "bits")
+            entries = entries.drop("label", "most", "bits").join(saved(known, "known"), "rep").withColumn("most", F.col("n_shingles") - F.col("alone")).drop("alone")
+            entries = saved(entries, "labelled")
+            least = entries.groupBy("value").agg(F.min("n_shingles").alias("_least"))
+            entries = entries.join(least, "value").where(F.col("most") * 100 >= (F.greatest("_least", "most") + F.col("n_shingles") - F.col("most")) * percent).drop("_least")
+        elif turn:
+            entries = entries.drop("label").join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+        entries = saved(entries, "labelled") if turn else entries
         by_label = entries.groupBy("value", "label").agg(F.count("*").alias("c"))
-        undone = by_label.groupBy("value").agg(F.count("*").alias("labels"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same")).where("labels > 1")
+        undone = saved(by_label.groupBy("value").agg(F.count("*").alias("labels"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same")).where("labels > 1"), "undone")
         entries = saved(entries.join(undone.select("value"), "value"), "entries")
         left, rows = undone.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
         if not left:
             break
-        a, b = (entries.select("value", F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-        last = left <= PAIRS_AN_ENTRY * rows or turn == MOST_ROUNDS
+        last = left <= PAIRS_AN_ENTRY * (LATER if turn else 1) * rows or idle or turn == MOST_ROUNDS
+        a, b = (entries.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "most", "label", "place", "bits")), F.col("rep").alias(x)) for x in "ab")
         if not last:
-            pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n_shingles", "label"))
-            hubs = entries.groupBy("value").agg(pick.alias("hub"))
-            a = hubs.select("value", F.col("hub.rep").alias("a"), F.col("hub.n_shingles").alias("n_a"), F.col("hub.label").alias("label_a"))
-        close = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("label_a") != F.col("label_b"))
-        more = confirmed(a.join(b, "value").where(close & (F.col("a") < F.col("b")) if last else close))
-        links = more if links is None else links.union(more)
-        labels = components(links)
+            a = a.where((F.col("place_a") >= turn * HUBS) & (F.col("place_a") < (turn + 1) * HUBS))
+        most = F.least("most_a", "most_b")
+        sizes = F.col("n_shingles_a") + F.col("n_shingles_b")
+        close = most * 100 >= (sizes - most) * percent
+        if turn:  # twice the shared shingles are the sizes less the difference, and that is no less than the bitmaps'
+            twice = sizes - apart("bits_a", "bits_b")
+            close &= F.coalesce(twice * 100 >= (2 * sizes - twice) * percent, F.lit(True))
+        # Members before this round's hubs were compared with all of the list.
+        new = (F.col("place_a") < F.col("place_b")) & (F.col("place_a") >= turn * HUBS)
+        links, idle = confirmed(a.join(b, "value").where((F.col("label_a") != F.col("label_b")) & new & close))
+        old = links if labels is None else links.union(labels.where("node <> label").select("node", "label"))
+        labels = components(old)
         if last:
             break
     if labels is None:

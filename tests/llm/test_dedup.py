@@ -49,6 +49,7 @@ def test_near_duplicates(spark, rows, width, percent):
 def test_near_duplicates_in_rounds(spark, monkeypatch):
     """Lists with many members: one member at a time, then the pairs that are left."""
     monkeypatch.setattr(near_dedup, "PAIRS_AN_ENTRY", 0)
+    monkeypatch.setattr(near_dedup, "LINKED_SHARE", 0)
     monkeypatch.setattr(near_dedup, "MOST_ROUNDS", 2)
     monkeypatch.setattr(near_dedup, "HUBS", 1)
     rows = mutations(2)

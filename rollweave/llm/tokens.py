@@ -10,15 +10,13 @@ import regex
 
 # The byte-level pre-token pattern that byte-level BPE files use.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Pieces at which the lower-casing word tokenizer always ends a pre-token: runs of full stops and commas
-# stand alone if their neighbours are letters, digits or white space; words between white space always do.
-PLAIN_PIECES = re.compile(r"[^\s.,]+|[.,]+")
-SPACED_PIECES = re.compile(r"\S+")
-NOT_PLAIN = re.compile(r"[^\w\s.,][.,]|[.,][^\w\s.,]|_[.,]|[.,]_")
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-UPPER = re.compile(r"[A-Z]+")
+# Letters whose lower case depends on where they stand.
+UNLIKE_ALONE = re.compile("[\u0130\u03a3]")
 
-CACHED_PIECES = 1_000_000
+# Pieces that a worker keeps: pre-tokens, and whole words with their punctuation.
+CACHED_PIECES = 700_000
+CACHED_WHOLE = 250_000
 
 
 class Encoder:
@@ -37,6 +35,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind
         self.cache: dict[str, bytes] = {}
+        self.whole_kept = 0
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.byte_level = regex.compile(BYTE_LEVEL)
 
@@ -47,23 +46,37 @@ class Encoder:
             return self.byte_level.findall(text)
         if ODD_SPACE.search(text):
             return None
-        lower = text.lower() if text.isascii() else UPPER.sub(lambda m: m[0].lower(), text)
-        return (SPACED_PIECES if NOT_PLAIN.search(text) else PLAIN_PIECES).findall(lower)
+        return (text if UNLIKE_ALONE.search(text) else text.lower()).split()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [[] if t is None else self.pieces(t) for t in texts]
-        found = looked_up([c or [] for c in cut], self.cache, self._ids)
+        found = looked_up([c or [] for c in cut], self.cache, self._ids, keep=self.kind == "byte" or self.whole_kept < CACHED_WHOLE)
         return [self.whole(t) if c is None else b"".join(f) for t, c, f in zip(texts, cut, found, strict=True)]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
+        if self.kind == "byte":
+            return self._from_library(pieces)
+        # Full stops and commas after a letter or digit are a pre-token of their own; the parts are always cached.
+        parts = []
+        for piece in pieces:
+            core = piece.rstrip(".,")
+            parts.append((core, piece[len(core) :]) if core != piece and core and core[-1].lower().isalnum() else (piece,))
+        lacking = list({p for part in parts for p in part if p not in self.cache})
+        new = dict(zip(lacking, self._from_library(lacking), strict=True))
+        if len(self.cache) + len(new) <= CACHED_PIECES:
+            self.cache.update(new)
+        self.whole_kept += sum(len(part) > 1 for part in parts)
+        return [b"".join([new[p] if p in new else self.cache[p] for p in part]) for part in parts]
+
+    def _from_library(self, pieces: list[str]) -> list[bytes]:
         return [np.array(got.ids, dtype="<u4").tobytes() for got in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-def looked_up(cut: list[list[str]], cache: dict, work_out) -> list[list]:
-    """The value of each piece of each list. work_out gives the values of new pieces; the cache takes them while it has room."""
+def looked_up(cut: list[list[str]], cache: dict, work_out, keep: bool = True) -> list[list]:
+    """The value of each piece of each list. work_out gives the values of new pieces; with keep, the cache takes them while it has room."""
     found = [list(map(cache.get, c)) for c in cut]
     lacking = [k for k, f in enumerate(found) if None in f]
     missing = list({p for k in lacking for p, v in zip(cut[k], found[k], strict=True) if v is None})
@@ -73,7 +86,7 @@ def looked_up(cut: list[list[str]], cache: dict, work_out) -> list[list]:
         new.update(zip(some, work_out(some), strict=True))
     for k in lacking:
         found[k] = [new[p] if v is None else v for p, v in zip(cut[k], found[k], strict=True)]
-    if len(cache) + len(new) <= CACHED_PIECES:
+    if keep and len(cache) + len(new) <= CACHED_PIECES:
         cache.update(new)
     return found
 

@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash windows of the items' sizes.
 
-For each item of n words, windows of n words are looked for in the documents. A window and an item are
+For each item of n words, windows of n words are looked for in the documents; a document of fewer words is
+one window, its whole text. A window and an item are
 described by their five-word shingles, each weighted by how often it occurs. Windows that could be similar
 enough get a 64-bit SimHash (weighted signs of the shingles' hashes, from prefix sums); an index over eight
 blocks of eight bits finds every item whose fingerprint lies within the radius, for a pair within 23 bits
@@ -8,7 +9,8 @@ agrees up to two bits in one block at least; the exact weighted similarity (sum
 greatest weights) decides.
 
 Only windows can be similar enough of which eight ninths of the shingles at least occur in some item (for
-0.8), so no others are fingerprinted; the test is exact. At a similarity of 0.8 the expected distance is
+0.8; of a whole shorter text, four ninths of its own and the item's shingles together), so no others are
+fingerprinted; the test is exact. At a similarity of 0.8 the expected distance is
 about 10 bits with a deviation of 3, so a radius of 23 misses next to none.
 
 Items are handled in slices of bounded size, each a pass over the documents. A-Z count as a-z.
@@ -102,10 +104,14 @@ class Matcher:
                 continue
             prefix = None
             for n, items in self.sizes.items():
-                m = n - width + 1
-                if min(WIDTH, n) != width or m > len(own):
+                if min(WIDTH, n) != width:
                     continue
-                starts = np.flatnonzero(hits[m:] - hits[:-m] >= math.ceil(m * 2 * self.least / (1 + self.least) - 1e-9))
+                # The item's shingles, and a window's: all of a text that is shorter than the item.
+                full = n - width + 1
+                m = min(full, len(own))
+                if m < full * self.least - 1e-9:
+                    continue
+                starts = np.flatnonzero(hits[m:] - hits[:-m] >= math.ceil((full + m) * self.least / (1 + self.least) - 1e-9))
                 if not len(starts):
                     continue
                 if prefix is None:
@@ -114,7 +120,7 @@ class Matcher:
                     start = int(starts[w])
                     like = similarity(own[start : start + m], items.shingles[i])
                     if like >= self.least and like > found.get(items.ids[i], (0, 0, 0.0))[2]:
-                        found[items.ids[i]] = (start, n, like)
+                        found[items.ids[i]] = (start, m + width - 1, like)
         return [(item, *rest) for item, rest in sorted(found.items())]
 
 

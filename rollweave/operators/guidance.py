@@ -51,6 +51,14 @@ def _put(actions: Column, at: int, text: str) -> Column:
     return F.array_insert(actions, at + 1, F.lit(text))
 
 
+def _error() -> Column:
+    """Why a request is blocked; NULL when it is answered. Of the joined columns _known and title."""
+    return F.coalesce(
+        F.when(F.col("_known").isNull(), F.concat(F.lit("unknown state_id: "), F.coalesce("state_id", F.lit("")))),
+        F.when(F.col("title").isNull(), F.concat(F.lit("unsupported situation: "), F.coalesce("situation", F.lit("")))),
+    )
+
+
 def guidance(requests: DataFrame, states: DataFrame) -> DataFrame:
     """Service answers: one row per request; unknown states and situations are blocked rows.
 
@@ -79,10 +87,7 @@ def guidance(requests: DataFrame, states: DataFrame) -> DataFrame:
         "documents", links.alias("official_links"), due.alias("deadline"),
         F.transform("official_sources", lambda s: s["label"]).alias("source_labels"),
         schedule_warnings(c("today"), due).alias("warnings"),
-        F.coalesce(
-            F.when(c("_known").isNull(), F.concat(F.lit("unknown state_id: "), c("state_id"))),
-            F.when(c("title").isNull(), F.concat(F.lit("unsupported situation: "), c("situation"))),
-        ).alias("error"),
+        _error().alias("error"),
     )
 
 
@@ -96,7 +101,8 @@ def _labels(text: Column, labels: Column) -> Column:
 
 def guidance_cards(requests: DataFrame, states: DataFrame, forms: DataFrame, documents: DataFrame) -> DataFrame:
     """Web cards: shorter text, three escalations for existing voters, document lists and
-    form labels from the catalogue (``forms``, ``documents`` as read by the forms reader)."""
+    form labels from the catalogue (``forms``, ``documents`` as read by the forms reader). One row per
+    request; unknown states and situations are rows with an error, as in ``guidance``."""
     c = F.col
     catalogue = F.broadcast(  # one row: a handful of forms and categories
         forms.agg(F.map_from_entries(F.collect_list(F.struct("form_id", "label"))).alias("_forms"))
@@ -137,7 +143,7 @@ def guidance_cards(requests: DataFrame, states: DataFrame, forms: DataFrame, doc
         "summary",
         F.when(in_base, _put(c("actions"), 2, words.WEB_BASE_ROLL_KNOWN))
         .otherwise(F.concat(extra, c("actions"))).alias("actions"),
-        "documents", notice.alias("notices"), due.alias("deadline"),
+        "documents", notice.alias("notices"), due.alias("deadline"), _error().alias("error"),
     )
 
 

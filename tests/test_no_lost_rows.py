@@ -2,7 +2,8 @@
 
 import pytest
 
-from rollweave.operators import limiter, readiness, scan, upsert
+from rollweave.operators import guidance, limiter, readiness, scan, upsert
+from rollweave.plans import registries
 from rollweave.sources import readers, writers
 
 STATE = "state_id string, eci_state_code string, name string, default_language string, data_capability string, public_launch_ready boolean"
@@ -79,3 +80,17 @@ def test_quality_named_unknown_beside_missing_quality(spark):
     row = readiness.scope_counts(voters, acs, stations).first()
     assert row.quality_summary == {"ok": 1, "underage": 1, "unknown": 2}
     assert (row.voter_records, row.ok_records, row.issue_records) == (4, 1, 2)
+
+
+def test_cards_of_blocked_requests_carry_the_message(spark):
+    folder = "/root/testdata/sf0.001"
+    asked, known = registries.request_rows(spark, folder), registries.registry_rows(spark, folder)
+    odd = asked.limit(1).selectExpr("-1 AS request_id", "CAST(NULL AS STRING) AS state_id", *asked.columns[2:])
+    asked = asked.unionByName(odd).cache()
+    cards = {r.request_id: r.error for r in guidance.guidance_cards(asked, known, *registries.forms_rows(spark, folder)).collect()}
+    answers = {r.request_id: r.error for r in guidance.guidance(asked, known).collect()}
+    states_known = {r.state_id for r in known.collect()}
+    want = {r.request_id: f"unknown state_id: {r.state_id or ''}" if r.state_id not in states_known
+            else "unsupported situation: lost" if r.situation == "lost" else None for r in asked.collect()}
+    assert cards == answers == want
+    assert {None, "unsupported situation: lost", "unknown state_id: "} <= set(want.values())

@@ -155,8 +155,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = classed.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     members = saved(classed.select("doc_id", *key).join(reps, key).select("doc_id", "n_shingles", "rep"), "members")
     rep_ids = saved(members.select(F.col("rep").alias("doc_id")).distinct(), "reps")
-    sketches = saved(only_ids(classed, rep_ids).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").dropDuplicates(
-        ["rep", "n_shingles"]), "sketches")
+    sketches = saved(only_ids(classed, rep_ids).select(F.col("doc_id").alias("rep"), "n_shingles", "print_a", "print_b", "sketch").dropDuplicates(
+        ["rep", *key]).drop("print_a", "print_b"), "sketches")
     lists = saved(index(sketches, percent), "lists")
 
     def confirmed(pairs: DataFrame) -> tuple[DataFrame, bool]:
@@ -169,7 +169,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     for turn in range(MOST_ROUNDS + 1):
         if turn == 1:
             reps_left = saved(entries.select(F.col("rep").alias("doc_id")).distinct(), "left")
-            alone = shareable(docs, reps_left, width).withColumnRenamed("rep", "doc_id")
+            # Where the rows of an id differ, the shingles that are alone are no one row's: none count.
+            several = saved(sketches.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("doc_id")), "several")
+            alone = without_ids(shareable(docs, reps_left, width).withColumnRenamed("rep", "doc_id"), several)
             known = reps_left.join(alone, "doc_id", "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             known = known.join(bitmaps(docs, reps_left, width), "doc_id").select(
                 F.col("doc_id").alias("rep"), F.coalesce("label", "doc_id").alias("label"), F.coalesce("alone", F.lit(0)).alias("alone"), "bits")

@@ -8,7 +8,8 @@ at most ``STRETCHES`` stretches from all over its text. Scoring reads whole text
 
 Defined results: a NULL text or one without a letter is ``und`` with score 0; so is every text if no row is
 labelled; rows that repeat a doc_id are judged each; an empty table gives no rows; columns besides doc_id,
-text and lang are ignored (predict) or kept (accepted).
+text and lang are ignored (predict) or kept (accepted). The pipeline drops texts that are ``und`` and no others,
+whatever their score, and none if no row is labelled.
 """
 
 from __future__ import annotations
@@ -206,15 +207,17 @@ def predict(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents, with all their columns, that have a language: not ``und``, and a score of ``least`` or more."""
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that have a language, that is not ``und``; all if there is nothing to learn from."""
     labels, net = fit(docs)
+    if net is None:
+        return docs
     at = docs.columns.index("text")
 
     def choose(batches):
         for batch in batches:
-            names, scores = judged(batch.column(at).to_pylist(), labels, net)
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            names, _ = judged(batch.column(at).to_pylist(), labels, net)
+            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(choose, docs.schema)

@@ -15,7 +15,8 @@ about 10 bits with a deviation of 3, so a radius of 23 misses next to none.
 
 Items are handled in slices of bounded size, each a pass over the documents. A-Z count as a-z.
 
-Defined results: items or texts without words match nothing; an item shorter than a shingle is one shingle;
+Defined results: items or texts without words match nothing; items without an id are items each, reported with a
+NULL item_id; an item shorter than a shingle is one shingle;
 rows that repeat a doc_id are judged each; of equally similar windows the first is reported; empty tables
 give no rows; other columns are ignored (contaminated) or kept (decontaminated).
 """
@@ -62,7 +63,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 class Items:
     """The items of one size, with their block index."""
 
-    def __init__(self, ids: list[int], shingles: list[np.ndarray]):
+    def __init__(self, ids: list[tuple], shingles: list[np.ndarray]):
         self.ids, self.shingles = ids, shingles
         self.prints = np.concatenate([fingerprint(signs(s).sum(axis=0, keepdims=True)) for s in shingles])
         apart = _ONES[np.arange(256, dtype=np.uint8)[:, None, None] ^ self.prints[None, :, :]]  # value, item, block
@@ -79,7 +80,7 @@ class Items:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str | None]], least: float):
+    def __init__(self, items: list[tuple[int | None, str | None]], least: float):
         self.least = least
         words = [w for _, part in word_hashes([t for _, t in items], fold=True) for w in part]
         by_size: dict[int, list[int]] = {}
@@ -87,13 +88,15 @@ class Matcher:
             if len(w):
                 by_size.setdefault(len(w), []).append(i)
         shingles = {i: windows(words[i], min(WIDTH, n)) for n, some in by_size.items() for i in some}
-        self.sizes = {n: Items([items[i][0] for i in some], [shingles[i] for i in some]) for n, some in sorted(by_size.items())}
+        # Of items that repeat an id the best is reported; each without one counts for itself.
+        names = [(name,) if name is not None else (None, i) for i, (name, _) in enumerate(items)]
+        self.sizes = {n: Items([names[i] for i in some], [shingles[i] for i in some]) for n, some in sorted(by_size.items())}
         widths = {min(WIDTH, n) for n in by_size}
         self.known = {w: np.unique(np.concatenate([shingles[i] for n, some in by_size.items() if min(WIDTH, n) == w for i in some])) for w in widths}
 
-    def best(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
+    def best(self, words: np.ndarray) -> list[tuple[int | None, int, int, float]]:
         """(item, first word, words, similarity) of the best window of each item that the text holds."""
-        found: dict[int, tuple[int, int, float]] = {}
+        found: dict[tuple, tuple[int, int, float]] = {}
         for width, known in self.known.items():
             own = windows(words, width)
             if not len(own):
@@ -121,16 +124,16 @@ class Matcher:
                     like = similarity(own[start : start + m], items.shingles[i])
                     if like >= self.least and like > found.get(items.ids[i], (0, 0, 0.0))[2]:
                         found[items.ids[i]] = (start, m + width - 1, like)
-        return [(item, *rest) for item, rest in sorted(found.items())]
+        return [(item[0], *rest) for item, rest in sorted(found.items(), key=lambda f: (f[0][0] is None, f[0]))]
 
 
 def _slices(items: DataFrame):
     """Lists of at most SLICE_ITEMS items or so; all of them in turn."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     parts = 1 + rows.count() // SLICE_ITEMS
-    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    part = F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(parts))
     for k in range(parts):
-        yield [(r["item_id"], r["text"]) for r in rows.where(part == k).orderBy("item_id").collect()]
+        yield [(r["item_id"], r["text"]) for r in rows.where(part == k).orderBy("item_id", "text").collect()]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:

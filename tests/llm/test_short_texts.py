@@ -56,3 +56,13 @@ def test_texts_shorter_than_the_item(spark):
     got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in decontaminate.contaminated(docs, frame).collect()}
     assert got == want and len(whole_matches(rows, items)) > 50
     assert {r.doc_id for r in decontaminate.decontaminated(docs, frame).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def test_items_without_an_id_are_looked_for(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE_ITEMS", 2)
+    passages = [" ".join(f"{c}{k}" for k in range(30)) for c in "pqr"]
+    docs = brute.frame(spark, [(1, f"{passages[0]} and {passages[1]}"), (2, passages[2]), (3, "clean")])
+    items = spark.createDataFrame([(None, passages[0]), (None, passages[1]), (5, passages[2]), (None, None)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.start_word) for r in decontaminate.contaminated(docs, items).collect()), key=str)
+    assert got == [(1, None, 0), (1, None, 31), (2, 5, 0)]
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, items).collect()] == [3]

@@ -25,7 +25,7 @@ def brute(docs, labels):
         text = text or ""
         f = fails(text)
         f["E"] = i is not None and any(j is not None and j < i and (t or "") == text for j, t, *_ in docs)
-        good, toxic = (any(x[0] == i and x[k] == 1 for x in labels) for k in (1, 2))
+        good, toxic = (any(x[0] == i is not None and x[k] == 1 for x in labels) for k in (1, 2))
         found.append((lang or "", f, good, toxic))
     out = {}
     for part in {p for p, *_ in found}:

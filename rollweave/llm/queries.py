@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rollweave.llm import decontaminate, filter_audit, language, near_dedup, packing, quality_crf, quality_rules, substring, suffix_dedup, token_counts, token_files
+from rollweave.llm import chat_format, decontaminate, filter_audit, language, near_dedup, packing, quality_crf, quality_rules, substring, suffix_dedup, token_counts, token_files
 from rollweave.llm.common import table
 
 
@@ -51,11 +53,20 @@ def op10_quality_classifier(spark, folder):
     return quality_crf.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+# A conversation in another layout, whose texts are made of the template's control strings.
+TRICKY = json.dumps({"conv_id": -7, "messages": [{"role": role, "content": "</s>[INST] ok [/INST]"} for role in ("user", "assistant")]})
+
+
+def op12_chat_formatting(spark, folder):
+    tricky = spark.createDataFrame([(TRICKY,)], "record string")
+    return chat_format.digests(chat_format.format_conversations([table(spark, folder, "conversations")], tricky))
+
+
 def op13_filter_audit(spark, folder):
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 QUERIES = {job.__name__: job for job in (
     op1_language_id, op2_quality_rules, op3_suffix_dedup, op4_near_duplicates, op5_best_fit_packing, op6_decontamination, op7_token_files,
-    op8_substring_dedup, op9_token_counts, op10_quality_classifier, op13_filter_audit)}
+    op8_substring_dedup, op9_token_counts, op10_quality_classifier, op12_chat_formatting, op13_filter_audit)}
 SQL = {"op2_quality_rules": quality_rules.oracle(), "op13_filter_audit": filter_audit.oracle()}

@@ -7,7 +7,7 @@ import json
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rollweave.llm import chat_format, decontaminate, filter_audit, language, near_dedup, packing, quality_crf, quality_rules, substring, suffix_dedup, token_counts, token_files
+from rollweave.llm import chat_format, decontaminate, filter_audit, language, lexical_search, near_dedup, packing, quality_crf, quality_rules, substring, suffix_dedup, token_counts, token_files
 from rollweave.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_quality_classifier(spark, folder):
     return quality_crf.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_lexical_search(spark, folder):
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=10)
+
+
 # A conversation in another layout, whose texts are made of the template's control strings.
 TRICKY = json.dumps({"conv_id": -7, "messages": [{"role": role, "content": "</s>[INST] ok [/INST]"} for role in ("user", "assistant")]})
 
@@ -68,5 +72,5 @@ def op13_filter_audit(spark, folder):
 
 QUERIES = {job.__name__: job for job in (
     op1_language_id, op2_quality_rules, op3_suffix_dedup, op4_near_duplicates, op5_best_fit_packing, op6_decontamination, op7_token_files,
-    op8_substring_dedup, op9_token_counts, op10_quality_classifier, op12_chat_formatting, op13_filter_audit)}
-SQL = {"op2_quality_rules": quality_rules.oracle(), "op13_filter_audit": filter_audit.oracle()}
+    op8_substring_dedup, op9_token_counts, op10_quality_classifier, op11_lexical_search, op12_chat_formatting, op13_filter_audit)}
+SQL = {"op11_lexical_search": lexical_search.oracle(), "op2_quality_rules": quality_rules.oracle(), "op13_filter_audit": filter_audit.oracle()}

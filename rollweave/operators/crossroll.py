@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rollweave.functions.text import (
     fingerprint, gram_similarity, normalize_name, trigrams,
 )
+from rollweave.operators.components import connected
 from rollweave.operators.search import keep_scores, ranked_matches
-from rollweave.session import scratch_path
+from rollweave.session import stage
 
 NAME_THRESHOLD = 0.3
 CODE_SCORE = 0.7
@@ -137,41 +138,23 @@ def compare_rolls(old: DataFrame, new: DataFrame, key: Sequence[str], fields: Se
     ).drop("_old", "_new")
 
 
-def link_persons(records: DataFrame, record_id: str, keys: Sequence[str], max_rounds: int = 50) -> DataFrame:
+def link_persons(records: DataFrame, record_id: str, keys: Sequence[str]) -> DataFrame:
     """``record_id, canonical_id``: records that share any key value, directly or through
     others, get the smallest id among them.
 
-    Every record is tied to its key values, never to all other records of a group. A round
-    takes the smallest label per key value and then per record, both combined map-side, and
-    follows labels to their own label; rounds double the reach. Each round is written to the
-    shared folder, so nothing is recomputed and lost executors cost one round at most.
+    Every record is tied to the smallest record of each of its key values, never to all
+    other records of a group; the ties' components give the groups.
     """
-    spark = records.sparkSession
-    root = scratch_path(spark, "linkage")
     tagged = F.array_compact(F.array(*[
         F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys
     ]))
-    ties = records.select(F.col(record_id).alias("id"), F.explode(tagged).alias("key"))
-    ties.write.parquet(f"{root}/ties")
-    ties = spark.read.parquet(f"{root}/ties")
-    labels = records.select(F.col(record_id).alias("id"), F.col(record_id).alias("label"))
-    for number in range(max_rounds):
-        per_key = ties.join(labels, "id").groupBy("key").agg(F.min("label").alias("label"))
-        offered = ties.join(per_key, "key").groupBy("id").agg(F.min("label").alias("offer"))
-        better = labels.join(offered, "id", "left").select(
-            "id", F.col("label").alias("was"), F.least("label", F.coalesce("offer", "label")).alias("label")
-        )
-        jumps = better.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        step = better.join(jumps, "label", "left").select(
-            "id", "was", F.least("label", F.coalesce("next", "label")).alias("label")
-        )
-        path = f"{root}/round-{number:03d}"
-        step.write.parquet(path)
-        done = spark.read.parquet(path)
-        labels = done.select("id", "label")
-        if done.where("was <> label").isEmpty():
-            return labels.withColumnsRenamed({"id": record_id, "label": "canonical_id"})
-    raise RuntimeError(f"labels still moving after {max_rounds} rounds")
+    ties = stage(records.select(F.col(record_id).alias("b"), F.explode(tagged).alias("key")), "ties")
+    hubs = ties.groupBy("key").agg(F.min("b").alias("a"))
+    groups = connected(ties.join(hubs, "key").select("a", "b"))
+    ids = records.select(F.col(record_id).alias("node"))
+    return ids.join(groups, "node", "left").select(
+        F.col("node").alias(record_id), F.coalesce("component", "node").alias("canonical_id")
+    )
 
 
 def record_quality(id_text: Column, age: Column, name: Column, gender: Column,

@@ -35,9 +35,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def full_catalog() -> Catalog:
-    from rollweave.plans import crossroll, extraction, loaded, matching, registries, scalars, searching, streams
+    from rollweave.plans import crossroll, extraction, loaded, matching, registries, scalars, searching, spelling, streams
 
     catalog = Catalog()
-    for module in (scalars, extraction, loaded, searching, registries, streams, crossroll, matching):
+    for module in (scalars, extraction, loaded, searching, registries, streams, crossroll, matching, spelling):
         module.register(catalog)
     return catalog

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from rollweave.operators import limiter
 from rollweave.plans import Catalog, table
-from rollweave.plans.extraction import IDS_SQL, SALT, _sid, documents
+from rollweave.plans.extraction import IDS_SQL, RECONCILED_SQL, SALT, _sid, documents
 from rollweave.plans.standins import DOC, PAGE, PAGE_TEXT
 from rollweave.session import scratch_path
-from rollweave.sources.writers import TableStore
+from rollweave.sources.load import RollTables
 from rollweave.streaming.jobs import rate_limit_stream, stream_load
 
 MAX_REQUESTS, WINDOW_SECONDS = 3, 86_400
@@ -54,24 +54,50 @@ def register(catalog: Catalog) -> None:
         query.awaitTermination()
         return spark.read.parquet(f"{out}/rows")
 
-    @catalog.add("stream_load", f"""
-        WITH {IDS_SQL}
-        SELECT {_sid('voter', 'roll_version_id', 'ac_number', 'part_number', 'serial_number')} AS voter_record_id, roll_version_id, ac_id, serial_number, age, gender, data_quality
-        FROM firsts v JOIN ids i ON v.doc_id = i.doc_id""")
-    def stream_loading(spark, folder):
+    def loaded_tables(spark, folder, states):
+        """The tables after a stream of all pages, with the given states seeded."""
         schema = table(spark, folder, "orders").schema
         pages = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(folder).selectExpr(
             f"{DOC} AS doc_id", f"{PAGE} AS page_no", f"{PAGE_TEXT} AS text")
         root = scratch_path(spark, "store")
-        store = TableStore(spark, f"{root}/tables", slices=8)
+        tables = RollTables(spark, f"{root}/tables", slices=8)
+        tables.upsert("states", spark.createDataFrame([(s, s, s) for s in states], "state_id string, eci_state_code string, name string"))
 
         def describe(batch):
             return documents(spark, folder).join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
 
-        stream_load(pages, describe, store, SALT, f"{root}/progress").awaitTermination()
-        return store.table("voter_records").select(
+        stream_load(pages, describe, tables, SALT, f"{root}/progress").awaitTermination()
+        return tables
+
+    every_state = ("ST-0", "ST-1", "ST-2")
+
+    @catalog.add("stream_load", f"""
+        WITH {IDS_SQL}
+        SELECT {_sid('voter', 'roll_version_id', 'ac_number', 'part_number', 'serial_number')} AS voter_record_id, roll_version_id, ac_id, serial_number, age, gender, data_quality
+        FROM firsts v JOIN ids i ON v.doc_id = i.doc_id""")
+    def stream_loading(spark, folder):
+        return loaded_tables(spark, folder, every_state).table("voter_records").select(
             "voter_record_id", "roll_version_id", "ac_id", "serial_number", "age", "gender", "data_quality")
 
+    @catalog.add("stream_load_rejected", f"""
+        WITH {RECONCILED_SQL}
+        SELECT doc_id, array_to_string(blockers, '; ') AS blockers FROM rec WHERE len(blockers) > 0
+        UNION ALL SELECT doc_id, 'state row must exist before loading rolls: ' || state_id FROM acc WHERE state_id = 'ST-2'""")
+    def stream_load_rejected(spark, folder):
+        told = loaded_tables(spark, folder, every_state[:2]).rejected()
+        return told.select("doc_id", F.array_join("blockers", "; ").alias("blockers"))
+
+    # Rows of each table as counted in its write; constituencies and stations repeat over documents.
+    keys = {"assembly_constituencies": "ac_id", "polling_stations": "polling_station_id", "roll_versions": "roll_version_id",
+            "source_documents": "source_document_id", "extraction_runs": _sid("extract", "source_document_id", "'parse_2002'", "parsed_records")}
+    counted = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(DISTINCT {k}) AS row_count FROM ids" for t, k in keys.items())
+
+    @catalog.add("load_counts", f"""
+        WITH {IDS_SQL} {counted}
+        UNION ALL SELECT 'voter_records', count(DISTINCT {_sid('voter', 'roll_version_id', 'ac_number', 'part_number', 'serial_number')}) FROM firsts v JOIN ids i ON v.doc_id = i.doc_id""")
+    def load_counts(spark, folder):
+        return loaded_tables(spark, folder, every_state).loads().select("table", "row_count")
+
     @catalog.add("rate_limit_summary", f"SELECT user_id, count(*) AS requests, count(*) FILTER (WHERE allowed) AS allowed_requests FROM ({LIMIT_SQL}) GROUP BY user_id")
     def rate_limit_summary(spark, folder):
         decided = limiter.rate_limit(table(spark, folder, "events"), "user_id", "ts", "event_id", MAX_REQUESTS, WINDOW_SECONDS)

@@ -1,15 +1,10 @@
-"""Sinks: JSON and CSV exports, and table snapshots with one commit point."""
+"""Sinks: JSON and CSV exports."""
 
 from __future__ import annotations
 
-import json
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from rollweave import schemas
 from rollweave.functions.glyphs import devanagari_to_latin, to_devanagari
-from rollweave.operators.upsert import latest, merge_rows
 
 EXPORT_COLUMNS = (
     "serial_number", "section_number", "section_name", "house_number", "voter_name",
@@ -54,96 +49,3 @@ def enrich_names(df: DataFrame, columns: tuple[str, ...] = ("voter_name", "relat
 
 def export_enriched(voters: DataFrame, path: str) -> None:
     enrich_names(voters).write.mode("overwrite").json(path)
-
-
-class TableStore:
-    """Relational tables as Parquet, changed by whole loads.
-
-    Every table is split into folders by ``slice``, a hash range, so a load rewrites only the
-    slices its rows fall into. New folders are written beside
-    the old ones; one small JSON document names the current folder of every slice and is
-    written last, which makes the load all-or-nothing for readers (on a store that creates a
-    file only if it is absent). Old folders stay until the caller removes them. The number of
-    slices is kept in that document: a store that exists goes on with its own.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, slices: int = 256):
-        self.spark, self.root, self.slices = spark, root.rstrip("/"), slices
-        jvm = spark.sparkContext._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _heads(self) -> list[str]:
-        folder = self._path(f"{self.root}/_heads")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(
-            s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json")
-        )
-
-    def _read(self, heads: list[str]) -> dict[str, dict[str, str]]:
-        if not heads:
-            return {}
-        rows = self.spark.read.text(f"{self.root}/_heads/{heads[-1]}", wholetext=True)
-        head = json.loads(rows.first()["value"])
-        self.slices = head["slices"]
-        return head["tables"]
-
-    def current(self) -> dict[str, dict[str, str]]:
-        """table -> slice -> folder of the last committed load."""
-        return self._read(self._heads())
-
-    def table(self, name: str, slices: list[str] | None = None) -> DataFrame:
-        folders = self.current().get(name, {})
-        chosen = sorted({f for s, f in folders.items() if slices is None or s in slices})
-        schema = schemas.TABLES[name]
-        if not chosen:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*chosen)
-
-    def slice_of(self, df: DataFrame, name: str) -> DataFrame:
-        """Rows with their slice. Records and stations go by constituency, so one roll touches
-        one slice; the other tables go by their key."""
-        by = "ac_id" if name in ("voter_records", "polling_stations") else schemas.KEYS[name]
-        return df.withColumn("slice", F.format_string("s%03d", F.pmod(F.xxhash64(by), F.lit(self.slices))))
-
-    def _write(self, df: DataFrame, name: str, folder: str) -> None:
-        """Rows by slice: small slices share a task, a hot one is split over several."""
-        self.slice_of(df, name).hint("rebalance", "slice").write.partitionBy("slice").parquet(folder)
-
-    def _slices_in(self, folder: str) -> list[str]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
-        return sorted(n.removeprefix("slice=") for n in names if n.startswith("slice="))
-
-    def load(self, batch: dict[str, DataFrame]) -> dict[str, int]:
-        """Upsert all tables of a batch; returns the number of slices rewritten per table."""
-        heads = self._heads()  # one listing: the version follows the head that is changed
-        head, version = self._read(heads), f"{len(heads):012d}"
-        tag = f"{version}-{uuid.uuid4().hex}"
-        touched = {}
-        for name in [t for t in ("states", *schemas.LOAD_ORDER) if t in batch]:
-            key = [schemas.KEYS[name]]
-            # The rows are written once, by slice; the merge reads them back from there.
-            staged = f"{self.root}/_staged/{tag}/{name}"
-            self._write(latest(batch[name], key), name, staged)
-            slices = self._slices_in(staged)
-            touched[name] = len(slices)
-            if not slices:
-                continue
-            updates = self.spark.read.parquet(staged).drop("slice")
-            old = self.table(name, slices)
-            merged = merge_rows(old, updates, key)
-            if "created_at" in merged.columns:
-                merged = merged.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
-            folder = f"{self.root}/{name}/{tag}"
-            self._write(merged, name, folder)
-            head.setdefault(name, {}).update({s: f"{folder}/slice={s}" for s in slices})
-        self._commit(head, version)
-        return touched
-
-    def _commit(self, head: dict, version: str) -> None:
-        target = self._path(f"{self.root}/_heads/{version}.json")
-        # create(path, overwrite=False) fails if another load committed this version first.
-        out = self._fs.create(target, False)
-        out.write(bytearray(json.dumps({"slices": self.slices, "tables": head}, sort_keys=True).encode("utf-8")))
-        out.close()

@@ -12,9 +12,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rollweave.functions.layout import LEGACY_2002, RollLayout
-from rollweave.operators import ingest, lines
+from rollweave.operators import lines
 from rollweave.operators.limiter import MAX_REQUESTS, WINDOW_SECONDS, Decider
-from rollweave.sources.writers import TableStore
+from rollweave.sources.load import RollTables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -59,30 +59,22 @@ def rate_limit_stream(
     return decided.withColumnsRenamed({"_key": key, "_id": request_id})
 
 
-def rejected_documents(store: TableStore) -> DataFrame:
-    """Documents that loads turned away, with their messages and the number of the batch."""
-    return store.spark.read.parquet(f"{store.root}/_rejected")
-
-
 def stream_load(
-    pages: DataFrame, describe: Callable[[DataFrame], DataFrame], store: TableStore, salt: str,
+    pages: DataFrame, describe: Callable[[DataFrame], DataFrame], tables: RollTables, salt: str,
     checkpoint: str, layout: RollLayout = LEGACY_2002,
 ) -> StreamingQuery:
     """Loads every document that arrives; repeated documents replace themselves.
 
     A document must arrive whole, as one file does. ``describe`` turns the pages of a
-    micro-batch into its ``roll_documents`` rows. Documents that don't reconcile are kept with
-    their messages in ``_rejected`` below the store (see ``rejected_documents``). Extracted records are written once below
-    the store and read back by the steps that need them.
+    micro-batch into its ``roll_documents`` rows. The number of the micro-batch is the load's
+    number, so a batch that is run again after a failure is not loaded twice. Extracted
+    records are written once below the tables and read back by the steps that need them.
     """
 
     def load(batch: DataFrame, number: int) -> None:
-        records = f"{store.root}/_extracted/{number:09d}"
+        records = f"{tables.root}/_extracted/{number:09d}"
         lines.extract_voters(lines.page_lines(batch), layout, staged=True).write.mode("overwrite").parquet(records)
-        voters = batch.sparkSession.read.parquet(records)
-        accepted, rejected = ingest.split_reconciled(ingest.reconcile(describe(batch), voters))
-        rejected.write.mode("overwrite").parquet(f"{store.root}/_rejected/batch={number:09d}")
-        store.load(ingest.fan_out(accepted, voters, salt))
+        tables.load(number, describe(batch), batch.sparkSession.read.parquet(records), salt)
 
     return (
         pages.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)

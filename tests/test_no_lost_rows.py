@@ -4,7 +4,7 @@ import pytest
 
 from rollweave.operators import guidance, limiter, readiness, scan, upsert
 from rollweave.plans import registries
-from rollweave.sources import readers, writers
+from rollweave.sources import load, readers, writers
 
 STATE = "state_id string, eci_state_code string, name string, default_language string, data_capability string, public_launch_ready boolean"
 
@@ -14,10 +14,10 @@ def states(spark, ids, name="n"):
 
 
 def test_store_opened_with_another_number_of_slices(spark, tmp_path):
-    writers.TableStore(spark, str(tmp_path / "t"), slices=4).load({"states": states(spark, range(20))})
+    load.RollTables(spark, str(tmp_path / "t"), slices=4).upsert("states", states(spark, range(20)))
     for i in range(4):
-        writers.TableStore(spark, str(tmp_path / "t"), slices=8).load({"states": states(spark, [i], "new")})
-    rows = writers.TableStore(spark, str(tmp_path / "t")).table("states").collect()
+        load.RollTables(spark, str(tmp_path / "t"), slices=8).upsert("states", states(spark, [i], "new"))
+    rows = load.RollTables(spark, str(tmp_path / "t")).table("states").collect()
     assert sorted(r.state_id for r in rows) == sorted(f"S{i}" for i in range(20))
     assert {r.state_id for r in rows if r.name == "new"} == {"S0", "S1", "S2", "S3"}
 

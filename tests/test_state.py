@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rollweave import schemas
 from rollweave.operators import crossroll, limiter, scan, search
 from rollweave.sources import readers, writers
+from rollweave.sources.load import RollTables
 from rollweave.streaming.jobs import rate_limit_stream
 from test_text import plain_trigrams
 
@@ -108,18 +109,47 @@ def test_linkage_equals_union_find(spark):
     assert got == {i: root(i) for i in range(200)}
 
 
-def test_store_is_idempotent_and_keeps_created_at(spark, tmp_path):
-    store = writers.TableStore(spark, str(tmp_path / "t"), slices=4)
+STATE_ROW = "state_id string, eci_state_code string, name string, default_language string, data_capability string, public_launch_ready boolean"
+
+
+def test_upserts_keep_created_at(spark, tmp_path):
+    tables = RollTables(spark, str(tmp_path / "t"), slices=4)
     row = lambda n: spark.createDataFrame(
-        [(f"S{i}", f"E{i}", n, "mr", "guidance_only", False) for i in range(6)],
-        "state_id string, eci_state_code string, name string, default_language string, data_capability string, public_launch_ready boolean")
-    store.load({"states": row("first")})
-    before = {r["state_id"]: r["created_at"] for r in store.table("states").collect()}
-    store.load({"states": row("second").where("state_id < 'S3'")})
-    after = store.table("states").collect()
-    assert {r["state_id"]: r["created_at"] for r in after} == before
+        [(f"S{i}", f"E{i}", n, "mr", "guidance_only", False) for i in range(6)], STATE_ROW)
+    assert tables.upsert("states", row("first")) == 6
+    before = {r["state_id"]: r["created_at"] for r in tables.table("states").collect()}
+    assert tables.upsert("states", row("second").where("state_id < 'S3'")) == 3
+    after = tables.table("states").collect()
+    assert {r["state_id"]: r["created_at"] for r in after} == before and None not in before.values()
     assert sorted(r["name"] for r in after) == ["first"] * 3 + ["second"] * 3
-    assert store.table("voter_records").columns == [c.split()[0] for c in schemas.TABLES["voter_records"].split(", ")]
+    assert tables.upsert("states", row("x").where("false")) == 0 and tables.table("states").count() == 6
+    assert tables.table("voter_records").columns == [c.split()[0] for c in schemas.TABLES["voter_records"].split(", ")]
+
+
+def test_load_with_state_gate_is_done_once(spark, tmp_path):
+    from rollweave.plans import extraction
+    from rollweave.session import stage
+
+    folder = "/root/testdata/sf0.001"
+    tables = RollTables(spark, str(tmp_path / "t"), slices=4)
+    people = stage(extraction.voters(spark, folder), "voters")
+    documents = extraction.documents(spark, folder)
+    none = {r["table"]: r["row_count"] for r in tables.load(0, documents, people, "salt").collect()}
+    assert set(none) == set(schemas.LOAD_ORDER) and set(none.values()) == {0}
+    assert tables.rejected().count() == documents.count()
+
+    tables.upsert("states", spark.createDataFrame([(f"ST-{i}", f"E{i}", "n", "mr", "guidance_only", False) for i in range(3)], STATE_ROW))
+    counts = {r["table"]: r["row_count"] for r in tables.load(1, documents, people, "salt").collect()}
+    rows = {t: sorted(map(str, tables.table(t).collect())) for t in schemas.LOAD_ORDER}
+    assert {t: len(r) for t, r in rows.items()} == counts and counts["voter_records"] > 0
+    for number in (1, 2):  # the same batch again, and the same rows as another batch
+        tables.load(number, documents, people, "salt")
+        again = {t: tables.table(t) for t in schemas.LOAD_ORDER}
+        for t, r in rows.items():
+            assert len(r) == again[t].count()
+            if t != "extraction_runs" or number == 1:  # a run's finishing time is the last one
+                assert sorted(map(str, again[t].collect())) == r
+    assert tables.loads().count() == 3 * len(schemas.LOAD_ORDER)
 
 
 def test_redaction_and_substring(spark):

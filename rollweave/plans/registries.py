@@ -214,11 +214,17 @@ def register(catalog: Catalog) -> None:
         return got.select("source_id", F.array_join("blockers", "; ").alias("blockers"), F.array_join(items, ";").alias("checklist"),
                           "ready_for_human_review", "valid_for_ingestion", "review_required")
 
-    @catalog.add("manifest_drafts", _JOINED + """
-        SELECT source_id, actual AS checksum, false AS reviewed, notes FROM j WHERE actual IS NOT NULL AND local_path LIKE 'data/%'""")
+    path = "nullif(local_path, '')"
+
+    @catalog.add("manifest_drafts", _JOINED + f"""
+        , e AS (SELECT *, CASE WHEN {path} LIKE '/%' THEN 'local_path must be repo-relative'
+            WHEN {path} IS NULL OR {_OUT} THEN 'local_path must stay under ignored data/ or samples/ directories'
+            WHEN actual IS NULL THEN 'local_path file does not exist for manifest drafting' END AS error FROM j)
+        SELECT source_id, CASE WHEN error IS NULL THEN actual END AS checksum, CASE WHEN error IS NULL THEN false END AS reviewed,
+          CASE WHEN error IS NULL THEN coalesce(nullif(notes, ''), 'TODO: human source review required before ingestion') ELSE notes END AS notes, error FROM e""")
     def manifest_drafts(spark, folder):
-        drafted, _ = manifests.draft_manifests(manifest_rows(spark, folder).drop("checksum", "reviewed"), file_rows(spark, folder))
-        return drafted.select("source_id", "checksum", "reviewed", "notes")
+        drafted, rejected = manifests.draft_manifests(manifest_rows(spark, folder).drop("checksum", "reviewed"), file_rows(spark, folder))
+        return drafted.select("source_id", "checksum", "reviewed", "notes").unionByName(rejected.select("source_id", "notes", "error"), allowMissingColumns=True)
 
     onboarding = {
         "request_id": "c_custkey", "state_id": "concat('ST-', c_custkey % 55)", "ac_number": "CAST(c_custkey % 20 AS INT)",
@@ -450,27 +456,29 @@ def register(catalog: Catalog) -> None:
     for key, name in KINDS.items():
         docs = f"replace({docs}, '@{name}', {kind(key)})"
 
-    @catalog.add("guidance_web", f"""
-        WITH q AS ({REQUEST_SQL}), s AS ({REGISTRY_SQL}), j AS (SELECT q.*, s.state_id AS known, {_day(due)} AS due, {_by_situation(words.WEB, 3)} AS act, {web_first} AS extra,
-            {form(1)} AS f6, {form(2)} AS f7, {form(3)} AS f8 FROM q LEFT JOIN s ON q.state_id = s.state_id WHERE situation <> 'lost')
-        SELECT request_id, CASE WHEN situation = 'existing_voter' AND current_roll_found = 'no' THEN {_t(words.WEB_URGENT_TITLE)} ELSE {_by_situation(words.WEB, 1)} END AS title,
+    cards = f"""q AS ({REQUEST_SQL}), s AS ({REGISTRY_SQL}), j AS (SELECT q.*, s.state_id AS known, name, {_day(due)} AS due, {_by_situation(words.WEB, 3)} AS act, {web_first} AS extra,
+            {form(1)} AS f6, {form(2)} AS f7, {form(3)} AS f8 FROM q LEFT JOIN s ON q.state_id = s.state_id),
+        cards AS (SELECT request_id, CASE WHEN situation = 'existing_voter' AND current_roll_found = 'no' THEN {_t(words.WEB_URGENT_TITLE)} ELSE {_by_situation(words.WEB, 1)} END AS title,
           CASE WHEN situation = 'existing_voter' AND current_roll_found = 'no' THEN 'urgent' WHEN len(extra) > 0 THEN 'high' ELSE {_by_situation(words.WEB, 0)} END AS priority,
           {labelled.format(_by_situation(words.WEB, 2))} AS summary,
-          {labelled.format(f"array_to_string(CASE WHEN {in_base} THEN list_concat(act[1:2], [{_t(words.WEB_BASE_ROLL_KNOWN)}], act[3:]) ELSE list_concat(extra, act) END, '|')")} AS actions,
-          {docs} AS documents, CASE WHEN known IS NULL THEN '' WHEN due IS NULL THEN {_t(words.WEB_NO_DEADLINE)} ELSE 'Use official channels before ' || due || '.' END AS notices FROM j""")
+          {labelled.format(f"array_to_string(CASE WHEN {in_base} THEN list_concat(act[1:2], [{_t(words.WEB_BASE_ROLL_KNOWN)}], act[3:]) WHEN act IS NOT NULL THEN list_concat(extra, act) END, '|')")} AS actions,
+          {docs} AS documents, CASE WHEN known IS NULL THEN '' WHEN due IS NULL THEN {_t(words.WEB_NO_DEADLINE)} ELSE 'Use official channels before ' || due || '.' END AS notices,
+          CASE WHEN known IS NULL THEN 'unknown state_id: ' || state_id WHEN situation = 'lost' THEN 'unsupported situation: lost' END AS error, name, due FROM j)"""
+
+    @catalog.add("guidance_web", f"WITH {cards} SELECT request_id, title, priority, summary, actions, documents, notices, error FROM cards")
     def guidance_web(spark, folder):
-        asked = request_rows(spark, folder).where("situation <> 'lost'")
-        got = guidance.guidance_cards(asked, registry_rows(spark, folder), *forms_rows(spark, folder))
+        got = guidance.guidance_cards(request_rows(spark, folder), registry_rows(spark, folder), *forms_rows(spark, folder))
         lists = [F.array_join(c, "|").alias(c) for c in ("actions", "documents", "notices")]
-        return got.select("request_id", "title", "priority", "summary", *lists)
+        return got.select("request_id", "title", "priority", "summary", *lists, "error")
 
+    # Only a card that was answered can be passed on.
     @catalog.add("share_text", f"""
-        WITH q AS ({REQUEST_SQL}), s AS ({REGISTRY_SQL})
-        SELECT request_id, 'Demo checklist for ' || name || ': ' || {_by_situation(words.SERVICE, 1)} || '. Next: ' || base_roll_found || ' Deadline: ' || coalesce({_day(due)}, 'check official portal') || '. ' || {_t(words.SHARE_SAFETY)} AS share
-        FROM q JOIN s ON q.state_id = s.state_id WHERE situation <> 'lost'""")
+        WITH {cards}
+        SELECT request_id, CASE WHEN error IS NULL THEN 'Demo checklist for ' || name || ': ' || title || '. Next: ' || split_part(actions, '|', 1) || ' Deadline: ' || coalesce(due, 'check official portal') || '. ' || {_t(words.SHARE_SAFETY)} END AS share,
+          error FROM cards""")
     def share_text(spark, folder):
         states = registry_rows(spark, folder)
-        got = guidance.guidance(request_rows(spark, folder).where("situation <> 'lost'"), states)
-        named = got.join(states.select("state_id", "name"), "state_id")
-        return named.select("request_id", guidance.share_text(
-            "Demo", F.col("name"), F.col("title"), F.col("base_roll_found"), registry.display_date(F.col("deadline"))).alias("share"))
+        got = guidance.guidance_cards(request_rows(spark, folder), states, *forms_rows(spark, folder))
+        named = got.join(states.select("state_id", "name"), "state_id", "left")
+        share = guidance.share_text("Demo", F.col("name"), F.col("title"), F.get("actions", 0), F.col("deadline"))
+        return named.select("request_id", F.when(F.col("error").isNull(), share).alias("share"), "error")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollweave.functions.text import fingerprint
-from rollweave.operators import crossroll
+from rollweave.operators import crossroll, pairsearch
 from rollweave.plans import Catalog, table
 from rollweave.plans.loaded import CTES, loaded
 from rollweave.plans.scalars import SALT, duck_similarity, duck_soundex, duck_trigrams
@@ -51,6 +51,22 @@ def register(catalog: Catalog) -> None:
         return got.select("voter_record_id", F.round(F.col("name_score").cast("double"), 4).alias("name_score"),
                           F.round(F.col("relative_score").cast("double"), 4).alias("relative_score"))
 
+    pair_sql = ("SELECT s_suppkey AS query_id, concat('Brand#', s_suppkey % 25 + 1) AS ac_id, concat(CASE s_suppkey % 3 WHEN 0 THEN 'Red  widgt' WHEN 1 THEN 'old bolt' ELSE 'smal ring' END, ' ', s_suppkey % 50) AS name, "
+                "concat(CASE s_suppkey % 4 WHEN 0 THEN 'promo ' WHEN 1 THEN 'standard ' WHEN 2 THEN '' ELSE 'econmy ' END, CASE s_suppkey % 3 WHEN 0 THEN 'widget' WHEN 1 THEN 'bolt' ELSE 'ring' END) AS relative FROM supplier")
+    n_q, r_q = (duck_trigrams(f"trim(regexp_replace(lower(q.{c}), ' +', ' ', 'g'))") for c in ("name", "relative"))
+
+    @catalog.add("name_relative_search_batch", f"""
+        WITH q AS ({pair_sql}), qg AS (SELECT query_id, ac_id, {n_q} AS qn, {r_q} AS qr FROM q), g AS (SELECT p_partkey, p_brand, {n} AS n, {r} AS r FROM part),
+        t AS (SELECT query_id, p_partkey, {duck_similarity('n', 'qn')} AS a, {duck_similarity('r', 'qr')} AS b FROM qg JOIN g ON ac_id = p_brand),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a + b DESC, p_partkey) AS rank FROM t WHERE CAST(a AS DOUBLE) >= 0.3 AND CAST(b AS DOUBLE) >= 0.3)
+        SELECT query_id, rank, p_partkey AS voter_record_id, round(CAST(a AS DOUBLE), 4) AS name_score, round(CAST(b AS DOUBLE), 4) AS relative_score FROM k WHERE rank <= 20""")
+    def name_relative_search_batch(spark, folder):
+        asked = table(spark, folder, "supplier").selectExpr(
+            "s_suppkey AS query_id", "concat('Brand#', s_suppkey % 25 + 1) AS ac_id",
+            "concat(CASE s_suppkey % 3 WHEN 0 THEN 'Red  widgt' WHEN 1 THEN 'old bolt' ELSE 'smal ring' END, ' ', s_suppkey % 50) AS name",
+            "concat(CASE s_suppkey % 4 WHEN 0 THEN 'promo ' WHEN 1 THEN 'standard ' WHEN 2 THEN '' ELSE 'econmy ' END, CASE s_suppkey % 3 WHEN 0 THEN 'widget' WHEN 1 THEN 'bolt' ELSE 'ring' END) AS relative")
+        return pairsearch.name_and_relative_search_batch(asked, named_parts(spark, folder), ["ac_id"])
+
     def coded(spark, folder):
         return crossroll.with_search_columns(named_parts(spark, folder), "name_normalized", "relative_name_normalized")
 

@@ -1,6 +1,6 @@
 """Questions about hash values, asked by groups of documents and answered for all documents at once.
 
-Documents are dealt out to groups of about ``GROUP_DOCS`` by a hash of doc_id, once: later steps reuse that
+Documents are dealt out to groups of about ``GROUP_DOCS`` (fewer, if they are long) by a hash of doc_id, once: later steps reuse that
 shuffle. A group asks about its distinct hash values, packed as arrays, one row for each bucket of
 values, so that a value that a third of all documents hold is a single entry of each group. A bucket
 answers each row with one bit a value, or with bytes of its own making. Groups recompute their values in the same order when the answers come.
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP_DOCS = 1000
+GROUP_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 ASKED = "gid long, bucket int, data binary, info binary"
 _ASKED = pa.schema([("gid", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("info", pa.binary())])
 BITS = "gid long, turn int, bucket int, bits binary"
@@ -26,14 +28,16 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dealt(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """gid, doc_id, text (and the other columns as a struct, if kept), dealt out by gid."""
-    groups = max(16, docs.count() // GROUP_DOCS)
+def dealt(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, int]:
+    """gid, doc_id, text (and the other columns as a struct, if kept), dealt out by gid; and the number of buckets, by which a
+    bucket's questions come from about ``BUCKET_BYTES`` of text, however large the table is."""
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("bytes")).first()
+    groups = max(16, size.n // GROUP_DOCS, size.bytes // GROUP_BYTES)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if keep:
         columns.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"))
     rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).alias("gid"), *columns)
-    return rows.repartition(partitions(docs), "gid")
+    return rows.repartition(partitions(docs), "gid"), max(partitions(docs), size.bytes // BUCKET_BYTES)
 
 
 def in_order(group: pa.Table) -> pa.Table:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollweave.llm.common import WORD
-from rollweave.llm.exchange import ASKED, answers, asked, bits_of, bucketed, dealt, in_order, partitions
+from rollweave.llm.exchange import ASKED, answers, asked, bits_of, bucketed, dealt, in_order
 from rollweave.llm.wordhash import windows, word_hashes
 
 _WORDS = re.compile(WORD)
@@ -148,8 +148,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep: bool = False) -> Data
 
     With keep, kept_text is the text in its own white space and ``rest`` has the other columns.
     """
-    rows = dealt(docs, keep)
-    buckets = partitions(docs)
+    rows, buckets = dealt(docs, keep)
     rest = f", rest {rows.schema['rest'].dataType.simpleString()}" if keep else ""
 
     def probe(group: pa.Table) -> pa.Table:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rollweave.llm.exchange import ASKED, answers, asked, bits_of, bucketed, bytes_of, dealt, in_order, partitions
+from rollweave.llm.exchange import ASKED, answers, asked, bits_of, bucketed, bytes_of, dealt, in_order
 from rollweave.llm.wordhash import BYTE_VALUES, run_hashes
 
 PHRASE = 48
@@ -234,8 +234,7 @@ def _depths(data: list[bytes], info: list[bytes]) -> list[np.ndarray]:
 
 def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every text."""
-    rows = dealt(docs)
-    buckets = partitions(docs)
+    rows, buckets = dealt(docs)
 
     def dictionary(group: pa.Table) -> pa.Table:
         return _Group(group, width, buckets).dictionary()

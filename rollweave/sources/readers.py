@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollweave import schemas
 from rollweave.functions.text import blank_to_null
 from rollweave.operators.lines import last_per_key
+from rollweave.session import stage
 
 
 def read_page_text(spark: SparkSession, path: str) -> DataFrame:
@@ -32,6 +33,38 @@ def malformed_manifests(documents: DataFrame) -> DataFrame:
     return documents.where("sources IS NULL").select("file", F.lit("sources is missing or not a list").alias("error"))
 
 
+def read_documents(spark: SparkSession, path: str, schema: str, glob: str = "*") -> DataFrame:
+    """JSON documents, one a file, with ``file`` and ``corrupt``: the text of a document that is damaged or of other types.
+
+    Read once to a staged table, as good and damaged documents are told apart in later steps.
+    """
+    docs = (
+        spark.read.schema(f"{schema}, corrupt string").option("multiLine", True).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(path)
+    )
+    return stage(docs.withColumn("file", F.col("_metadata.file_path")), "json-documents")
+
+
+def damaged_documents(documents: DataFrame, needed: Column, says: str) -> DataFrame:
+    """``file, error`` of documents that are no JSON, are of other types, or lack what is ``needed``."""
+    broken = F.try_parse_json("corrupt").isNull()
+    error = F.coalesce(
+        F.when(F.col("corrupt").isNotNull() & broken, "document is not valid JSON"), F.when(~F.coalesce(needed, F.lit(False)), says),
+        F.when(F.col("corrupt").isNotNull(), "document has fields of other types"))
+    return documents.withColumn("error", error).where("error IS NOT NULL").select("file", "error")
+
+
+def _sound(documents: DataFrame, errors: DataFrame) -> DataFrame:
+    return documents.join(errors.select("file"), "file", "left_anti").drop("corrupt")
+
+
+def read_checked_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, errors) of manifest documents; a damaged document is an error row and keeps no other from being read."""
+    docs = read_documents(spark, path, schemas.MANIFEST_DOCUMENT)
+    errors = damaged_documents(docs, F.col("sources").isNotNull(), "sources is missing or not a list")
+    return manifest_entries(_sound(docs, errors)), errors
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     docs = spark.read.schema(schemas.MANIFEST_DOCUMENT).option("multiLine", True).json(path)
     return manifest_entries(docs.withColumn("file", F.col("_metadata.file_path")))
@@ -66,6 +99,13 @@ def read_states(spark: SparkSession, directory: str) -> DataFrame:
     return typed_states(last_per_key(docs, ["state_id"], ["_file"]).drop("_file"))
 
 
+def read_checked_states(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """(states, errors) of the state documents below a directory; for a repeated id the last file name wins."""
+    docs = read_documents(spark, directory, schemas.STATE_DOCUMENT)
+    errors = damaged_documents(docs, F.col("state_id") != "", "state_id is missing")
+    return typed_states(last_per_key(_sound(docs, errors), ["state_id"], ["file"]).drop("file")), errors
+
+
 def catalogue_rows(documents: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     """(forms, document categories) of catalogue documents, one row per map entry."""
     forms = documents.select(*keep, F.explode("forms").alias("form_id", "f")).select(*keep, "form_id", "f.*")
@@ -78,6 +118,13 @@ def read_forms(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return catalogue_rows(spark.read.schema(schemas.FORMS_DOCUMENT).option("multiLine", True).json(path))
 
 
+def read_checked_forms(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(forms, documents, errors) of forms catalogues, rows with the ``file`` they come from."""
+    docs = read_documents(spark, path, schemas.FORMS_DOCUMENT)
+    errors = damaged_documents(docs, F.col("forms").isNotNull() & F.col("common_documents").isNotNull(), "forms or common_documents is missing or not a map")
+    return (*catalogue_rows(_sound(docs, errors), "file"), errors)
+
+
 def read_search_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SEARCH_RECORD).option("multiLine", True).json(path)
 

@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     links: a, b (long). Every round each node takes the smallest label among its neighbours' and then the
     label of that label, so long chains shorten by halves; each round is a table in the shared folder.
     """
-    edges = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    edges = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("_near")), "b").groupBy(

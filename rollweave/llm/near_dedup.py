@@ -13,7 +13,8 @@ most widely shared (as an original's are among its copies), are compared with th
 belong to them, and what links is merged; a list whose members all belong together is done. After the first
 round, the shingles that only one of the documents left has are counted: a pair can share no more than the others,
 which rules out most members whose own words keep them apart from all. When few pairs between different
-components are left, they are all compared, so no link between different components is missed.
+components are left, they are all compared (those of long lists in blocks, by bitmaps of the sets in numpy), so no
+link between different components is missed.
 
 Defined results: no words or NULL text is an empty set, linked with nothing; fewer words than a shingle are
 one shingle; rows that repeat a doc_id are one node and each get a row; a row with NULL doc_id is linked with
@@ -41,9 +42,11 @@ BITS = 2048
 # bitmaps rule nearly all of them out, LATER times as many), when a round has linked less than this share of the
 # pairs it compared, or after so many rounds.
 PAIRS_AN_ENTRY = 2
-LATER = 50
+LATER = 400
 LINKED_SHARE = 0.02
 MOST_ROUNDS = 8
+# Lists longer than this are compared in blocks of so many members.
+BLOCK = 512
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
 
@@ -134,6 +137,43 @@ def apart(a: str, b: str) -> F.Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(BITS // 64)), F.lit(0))
 
 
+def block_pairs(entries: DataFrame, first: int, percent: int) -> DataFrame:
+    """a, b: the pairs of long lists that sizes and bitmaps leave, but for those with a member placed before ``first``.
+
+    entries has the columns of the lists with label, most, bits and n (members of the list). A list is dealt by hashes of its
+    members into blocks of about ``BLOCK``; a group is two blocks of a list, and compared in numpy.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    spread = entries.where(F.col("place") >= first).withColumn("_own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    spread = spread.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.select("value", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "n_shingles", "most", "label", "bits")
+
+    def compare(table):
+        own, rep, size, most, label = (table.column(c).to_numpy() for c in ("_own", "rep", "n_shingles", "most", "label"))
+        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
+        rows = table.column("bits").to_pylist()
+        known = np.array([r is not None for r in rows])
+        bits = np.array([r or [0] * (BITS // 64) for r in rows], dtype=np.int64).view(np.uint64)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = [np.empty((0, 2), dtype=np.int64)]
+        for at in range(0, len(left), 64):
+            x, y = left[at : at + 64, None], right[None, :]
+            sizes, shared = size[x] + size[y], np.minimum(most[x], most[y])
+            close = (label[x] != label[y]) & (shared * 100 >= (sizes - shared) * percent)
+            if i == j:
+                close &= x < y
+            kx, ky = np.nonzero(close)
+            x, y, sizes = x[kx, 0], y[0, ky], sizes[kx, ky]
+            twice = sizes - np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            good = ~(known[x] & known[y]) | (twice * 100 >= (2 * sizes - twice) * percent)
+            found.append(np.stack([rep[x[good]], rep[y[good]]], axis=1))
+        pairs = np.concatenate(found)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return spread.groupBy("value", "_i", "_j").applyInArrow(compare, "a long, b long")
+
+
 def shareable(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """rep, alone: how many shingles no other of the given documents has. reps: a saved table of distinct doc_ids."""
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -154,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     key = ["print_a", "print_b", "n_shingles"]
     reps = classed.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     members = saved(classed.select("doc_id", *key).join(reps, key).select("doc_id", "n_shingles", "rep"), "members")
-    rep_ids = saved(members.select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    rep_ids = members.where("doc_id = rep").select("doc_id")  # the smallest of a class is one of its rows
     sketches = saved(only_ids(classed, rep_ids).select(F.col("doc_id").alias("rep"), "n_shingles", "print_a", "print_b", "sketch").dropDuplicates(
         ["rep", *key]).drop("print_a", "print_b"), "sketches")
     lists = saved(index(sketches, percent), "lists")
@@ -189,7 +229,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if not left:
             break
         last = left <= PAIRS_AN_ENTRY * (LATER if turn else 1) * rows or idle or turn == MOST_ROUNDS
-        a, b = (entries.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "most", "label", "place", "bits")), F.col("rep").alias(x)) for x in "ab")
+        long = undone.where(F.col("n") > BLOCK).select("value", "n")
+        in_blocks = last and turn > 0 and not long.isEmpty()
+        joined = entries.join(long, "value", "left_anti") if in_blocks else entries
+        a, b = (joined.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "most", "label", "place", "bits")), F.col("rep").alias(x)) for x in "ab")
         if not last:
             a = a.where((F.col("place_a") >= turn * HUBS) & (F.col("place_a") < (turn + 1) * HUBS))
         most = F.least("most_a", "most_b")
@@ -200,7 +243,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             close &= F.coalesce(twice * 100 >= (2 * sizes - twice) * percent, F.lit(True))
         # Members before this round's hubs were compared with all of the list.
         new = (F.col("place_a") < F.col("place_b")) & (F.col("place_a") >= turn * HUBS)
-        links, idle = confirmed(a.join(b, "value").where((F.col("label_a") != F.col("label_b")) & new & close))
+        pairs = a.join(b, "value").where((F.col("label_a") != F.col("label_b")) & new & close).select("a", "b")
+        if in_blocks:
+            pairs = pairs.union(block_pairs(entries.join(long, "value"), turn * HUBS, percent))
+        links, idle = confirmed(pairs)
         old = links if labels is None else links.union(labels.where("node <> label").select("node", "label"))
         labels = components(old)
         if last:

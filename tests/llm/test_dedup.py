@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from llm import brute
 
@@ -97,3 +98,27 @@ def test_repeated_bytes(spark, rows, width):
     found = brute.rows_by_id(suffix_dedup.remove_repeats(brute.frame(spark, rows), width))
     got = {i: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for i, r in found.items()}
     assert got == brute.byte_repeats(rows, width)
+
+
+def test_long_lists_in_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(40):
+        size = int(rng.integers(20, 40))
+        bits = None if k % 9 == 0 else [int(x) for x in rng.integers(0, 1 << 60, 2)] + [0] * (near_dedup.BITS // 64 - 2)
+        rows.append((k % 2, k, size, size - int(rng.integers(0, 5)), k // 5, k // 2, bits, 20))
+    frame = spark.createDataFrame(rows, "value long, rep long, n_shingles long, most long, label long, place int, bits array<long>, n long")
+
+    def close(x, y):
+        sizes, shared = x[2] + y[2], min(x[3], y[3])
+        if shared * 100 < (sizes - shared) * 80:
+            return False
+        if x[6] is None or y[6] is None:
+            return True
+        twice = sizes - sum((p ^ q).bit_count() for p, q in zip(x[6], y[6], strict=True))
+        return twice * 100 >= (2 * sizes - twice) * 80
+
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[4] != y[4] and x[5] >= 4 and y[5] >= 4 and close(x, y)}
+    got = [tuple(sorted(r)) for r in near_dedup.block_pairs(frame, 4, 80).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want

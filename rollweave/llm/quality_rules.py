@@ -2,10 +2,15 @@
 
 For each language and source, mergeable quantile sketches hold how the signals are distributed: counts of
 the signal's value cut to its six leading bits, so any quantile is known to 1/32 of its value, a sketch has
-a few hundred entries whatever the number of rows, and sketches merge by adding counts (groups too small to
-judge take the merged sketch of their language, or of all). A document is rejected if a signal lies beyond
-the outer fences of its group: the quartiles plus or minus three quartile distances, and at least a small
-slack for groups without spread.
+a few hundred entries whatever the number of rows, and sketches merge by adding counts. A group's sketch is
+weighed by its rows, and the merged sketches of its language and of all groups count beside it as ``PRIOR``
+rows each: a large group is judged by its own texts, a small one mostly by its relatives, without a switch.
+
+A document is rejected if a signal lies beyond a fence of its group: the upper quantile plus ``reach`` times
+its distance from the lower one (and for word lengths as far below the lower one). Signals that are zero in
+most texts are measured at the ninth decile (symbols) and the 99th percentile (repeats), where they vary;
+a group in which nine texts of ten hold no symbol tolerates none. A distance counts as 1/32 of the upper quantile
+at least, the sketch's resolution. No fence holds a fixed share: a signal in another unit has its fence in that unit.
 
 Defined results: a NULL or empty text has no words and fails; NULL languages and sources are groups of their
 own; repeated rows each get a row; columns besides those named are ignored; an empty table gives no rows.
@@ -23,16 +28,18 @@ from rollweave.llm.common import saved
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-# Signal -> (least slack below the lower quartile or None for no lower fence, least slack above the upper one).
+# Signal -> (lower and upper quantile in 1/100, reach, whether there is a fence below too).
 # Shares are in 1/10,000, the word length in 1/100 characters.
 FENCES = {
-    "symbol_share": (None, 1000),
-    "dup_line_share": (None, 5000),
-    "repeat_share": (None, 3500),
-    "word_length": (150, 150),
+    "symbol_share": (50, 90, 3, False),
+    "dup_line_share": (50, 99, 1, False),
+    "repeat_share": (50, 99, 1, False),
+    "word_length": (25, 75, 3, True),
 }
-REACH = 3
-LEAST_ROWS = 30
+# Rows as which the sketch of the language, and that of all groups, count in a group; a row of the group weighs UNIT.
+PRIOR = 20
+UNIT = 1 << 16
+RESOLUTION = 32
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -105,38 +112,52 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def merged(sketch: DataFrame, *keys: str) -> DataFrame:
-    """The quartiles of the sketches merged over all but the given keys: keys, signal, n, low, high."""
+    """The sketches merged over all but the given keys: keys, signal, n, cells (value, n), a few hundred at most."""
     counts = sketch.groupBy(*keys, "signal", "value").agg(F.sum("n").alias("n"))
-    cells = F.array_sort(F.collect_list(F.struct("value", "n")))  # a few hundred at most
+    return counts.groupBy(*keys, "signal").agg(F.sum("n").alias("n"), F.collect_list(F.struct("value", "n")).alias("cells"))
 
-    def quantile(quarter: int) -> Column:
-        def step(state: Column, cell: Column) -> Column:
-            return F.struct(
-                (state["seen"] + cell["n"]).alias("seen"),
-                F.when(4 * state["seen"] < quarter * F.col("_n"), cell["value"]).otherwise(state["at"]).alias("at"))
 
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("at"))
-        return F.aggregate("_cells", start, step, lambda state: state["at"])
+def quantile(cells: Column, total: Column, percent: Column) -> Column:
+    """The first value up to which percent of the weight lies; cells (value, w) in order of value."""
 
-    grouped = counts.groupBy(*keys, "signal").agg(cells.alias("_cells"), F.sum("n").alias("_n"))
-    return grouped.select(*keys, "signal", F.col("_n").alias("n"), quantile(1).alias("low"), quantile(3).alias("high"))
+    def step(state: Column, cell: Column) -> Column:
+        return F.struct(
+            (state["seen"] + cell["w"]).alias("seen"),
+            F.when(100 * state["seen"] < percent * total, cell["value"]).otherwise(state["at"]).alias("at"))
 
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("at"))
+    return F.aggregate(cells, start, step, lambda state: state["at"])
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source, and of each signal the least and the most that is kept."""
+
+def weighed(sketch: DataFrame) -> DataFrame:
+    """lang, source, signal and the cells (value, w) of the group, of its language and of all, in order of value."""
     own, by_lang, everything = merged(sketch, "lang", "source"), merged(sketch, "lang"), merged(sketch)
     groups = own.alias("o").join(by_lang.alias("l"), F.expr("o.lang <=> l.lang AND o.signal = l.signal")).join(
         everything.alias("e"), F.expr("o.signal = e.signal"))
-    low, high = (F.when(F.col("o.n") >= LEAST_ROWS, F.col(f"o.{c}")).when(F.col("l.n") >= LEAST_ROWS, F.col(f"l.{c}")).otherwise(
-        F.col(f"e.{c}")) for c in ("low", "high"))
-    chosen = groups.select("o.lang", "o.source", "o.signal", low.alias("low"), high.alias("high"))
-    reach = REACH * (F.col("high") - F.col("low"))
+    cells = F.expr(f"""array_sort(concat(
+        transform(o.cells, c -> named_struct('value', c.value, 'w', {UNIT} * c.n)),
+        transform(l.cells, c -> named_struct('value', c.value, 'w', {PRIOR * UNIT} * c.n div l.n)),
+        transform(e.cells, c -> named_struct('value', c.value, 'w', {PRIOR * UNIT} * c.n div e.n))))""")
+    return groups.select("o.lang", "o.source", "o.signal", cells.alias("cells"))
+
+
+def _of_signal(k: int) -> Column:
+    """The k-th entry of the row's signal in FENCES."""
+    return F.element_at(F.create_map(*(F.lit(x) for s, f in FENCES.items() for x in (s, f[k]))), F.col("signal"))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """lang, source, and of each signal the least and the most that is kept."""
+    rows = weighed(sketch).withColumn("total", F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + c["w"]))
+    ends = rows.select("lang", "source", "signal", *(
+        quantile(F.col("cells"), F.col("total"), _of_signal(k)).alias(name) for k, name in ((0, "low"), (1, "high"))))
+    chosen = ends.withColumn("reach", _of_signal(2) * F.expr(f"greatest(high - low, high div {RESOLUTION})"))
     bounds = []
-    for signal, (below, above) in FENCES.items():
+    for signal, (*_, below) in FENCES.items():
         mine = F.col("signal") == signal
-        bounds.append(F.max(F.when(mine, F.col("high") + F.greatest(reach, F.lit(above)))).alias(f"{signal}_most"))
-        if below is not None:
-            bounds.append(F.max(F.when(mine, F.col("low") - F.greatest(reach, F.lit(below)))).alias(f"{signal}_least"))
+        bounds.append(F.max(F.when(mine, F.col("high") + F.col("reach"))).alias(f"{signal}_most"))
+        if below:
+            bounds.append(F.max(F.when(mine, F.col("low") - F.col("reach"))).alias(f"{signal}_least"))
     return chosen.groupBy("lang", "source").agg(*bounds)
 
 
@@ -145,9 +166,9 @@ def judge(docs: DataFrame) -> DataFrame:
     found = shares(saved(signals(docs), "signals"))
     limits = thresholds(sketches(found.where(~F.col("base_failed"))))
     inside = ~F.col("base_failed")
-    for signal, (below, _) in FENCES.items():
+    for signal, (*_, below) in FENCES.items():
         inside &= F.col(f"d.{signal}") <= F.col(f"t.{signal}_most")
-        if below is not None:
+        if below:
             inside &= F.col(f"d.{signal}") >= F.col(f"t.{signal}_least")
     joined = found.alias("d").join(limits.alias("t"), F.expr("d.lang <=> t.lang AND d.source <=> t.source"), "left")
     return joined.select("d.doc_id", "d.n_words", "d.word_chars", "d.n_symbols", "d.n_dup_lines", "d.n_repeat_words",
@@ -157,20 +178,14 @@ def judge(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL for judge() over the table documents."""
     tests, bounds = [], []
-    for signal, (below, above) in FENCES.items():
-        bounds.append(f"max(CASE WHEN signal = '{signal}' THEN high + greatest({REACH} * (high - low), {above}) END) AS {signal}_most")
+    for signal, (*_, below) in FENCES.items():
+        bounds.append(f"max(CASE WHEN signal = '{signal}' THEN high + reach END) AS {signal}_most")
         tests.append(f"d.{signal} <= t.{signal}_most")
-        if below is not None:
-            bounds.append(f"max(CASE WHEN signal = '{signal}' THEN low - greatest({REACH} * (high - low), {below}) END) AS {signal}_least")
+        if below:
+            bounds.append(f"max(CASE WHEN signal = '{signal}' THEN low - reach END) AS {signal}_least")
             tests.append(f"d.{signal} >= t.{signal}_least")
     long = "\n UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {s} AS x FROM shares WHERE NOT base_failed" for s in FENCES)
-
-    def quartiles(name: str, keys: str) -> str:
-        group = f"{keys} signal"
-        return f"""{name}_c AS (SELECT {group}, value, sum(n) AS n FROM sketch GROUP BY ALL),
-{name}_r AS (SELECT {group}, value, sum(n) OVER (PARTITION BY {group} ORDER BY value) - n AS seen, sum(n) OVER (PARTITION BY {group}) AS total FROM {name}_c),
-{name} AS (SELECT {group}, max(total) AS n, max(CASE WHEN 4 * seen < total THEN value END) AS low,
- max(CASE WHEN 4 * seen < 3 * total THEN value END) AS high FROM {name}_r GROUP BY ALL)"""
+    fences = ", ".join(f"('{s}', {low}, {high}, {reach})" for s, (low, high, reach, _) in FENCES.items())
 
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -191,13 +206,20 @@ shares AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 long AS ({long}),
 sketch AS (SELECT lang, source, signal, (x >> CAST(c AS INT)) << CAST(c AS INT) AS value, count(*) AS n
  FROM (SELECT *, greatest(length(bin(x)) - 6, 0) AS c FROM long) GROUP BY ALL),
-{quartiles("own", "lang, source,")},
-{quartiles("bylang", "lang,")},
-{quartiles("every", "")},
-chosen AS (SELECT o.lang, o.source, o.signal,
- CASE WHEN o.n >= {LEAST_ROWS} THEN o.low WHEN l.n >= {LEAST_ROWS} THEN l.low ELSE e.low END AS low,
- CASE WHEN o.n >= {LEAST_ROWS} THEN o.high WHEN l.n >= {LEAST_ROWS} THEN l.high ELSE e.high END AS high
- FROM own o JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.signal = l.signal JOIN every e ON o.signal = e.signal),
+fences(signal, lo, hi, times) AS (VALUES {fences}),
+bylang AS (SELECT lang, signal, value, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, signal) AS total FROM sketch GROUP BY lang, signal, value),
+every AS (SELECT signal, value, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY signal) AS total FROM sketch GROUP BY signal, value),
+groups AS (SELECT DISTINCT lang, source, signal FROM sketch),
+mixed AS (SELECT lang, source, signal, value, {UNIT} * n AS w FROM sketch
+ UNION ALL SELECT g.lang, g.source, g.signal, l.value, {PRIOR * UNIT} * l.n // l.total
+ FROM groups g JOIN bylang l ON g.lang IS NOT DISTINCT FROM l.lang AND g.signal = l.signal
+ UNION ALL SELECT g.lang, g.source, g.signal, e.value, {PRIOR * UNIT} * e.n // e.total FROM groups g JOIN every e ON g.signal = e.signal),
+cells AS (SELECT lang, source, signal, value, sum(w) AS w FROM mixed GROUP BY ALL),
+ranked AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, signal ORDER BY value) - w AS seen,
+ sum(w) OVER (PARTITION BY lang, source, signal) AS total FROM cells),
+ends AS (SELECT lang, source, signal, max(times) AS times, max(CASE WHEN 100 * seen < lo * total THEN value END) AS low,
+ max(CASE WHEN 100 * seen < hi * total THEN value END) AS high FROM ranked JOIN fences USING (signal) GROUP BY lang, source, signal),
+chosen AS (SELECT *, times * greatest(high - low, high // {RESOLUTION}) AS reach FROM ends),
 t AS (SELECT lang, source, {", ".join(bounds)} FROM chosen GROUP BY ALL)
 SELECT d.doc_id, d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.base_failed,
  coalesce(NOT d.base_failed AND {" AND ".join(tests)}, false) AS kept

@@ -83,14 +83,65 @@ def test_rules_equal_sql(spark):
     assert difference(spark, connect("/root/testdata/sf0.01"), "/root/testdata/sf0.01", query, contract.oracle_sql()["op2_quality_rules"]) is None
 
 
+SHARES = "doc_id long, lang string, source string, symbol_share long, dup_line_share long, repeat_share long, word_length long"
+
+
+def limits(spark, rows):
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], SHARES)
+    return {r.source: r for r in quality_rules.thresholds(quality_rules.sketches(frame)).collect()}
+
+
 def test_merged_sketches_are_sketches_of_all(spark):
     rows = [(k, "en", "ab"[k % 2], k * k % 1000, 0, 0, 500) for k in range(400)]
-    frame = spark.createDataFrame(rows, "doc_id long, lang string, source string, symbol_share long, dup_line_share long, repeat_share long, word_length long")
+    frame = spark.createDataFrame(rows, SHARES)
     got = {r.signal: r for r in quality_rules.merged(quality_rules.sketches(frame), "lang").collect()}
     values = sorted(r[3] for r in rows)
-    for q, x in ((100, got["symbol_share"].low), (300, got["symbol_share"].high)):
-        assert x <= values[q - 1] <= x * (1 + 1 / 32) + 1
-    assert (got["word_length"].low, got["word_length"].n) == (496, 400)
+    cells = sorted((c.value, c.n) for c in got["symbol_share"].cells)
+    assert sum(n for _, n in cells) == got["symbol_share"].n == 400
+    seen = 0
+    for value, n in cells:
+        assert value <= values[seen] and values[seen + n - 1] <= value * (1 + 1 / 32) + 1
+        seen += n
+    assert [tuple(c) for c in got["word_length"].cells] == [(496, 400)]
+
+
+def test_thresholds_follow_their_source(spark):
+    rng = np.random.default_rng(5)
+
+    def source(name, n, unit):
+        return [("en", name, *(int(x) for x in unit * rng.integers(50, 100, 4))) for _ in range(n)]
+
+    rows = source("plain", 5000, 10) + source("code", 5000, 40) + source("small", 3, 10)
+    got = limits(spark, rows)
+    for signal in quality_rules.FENCES:
+        most = {s: r[f"{signal}_most"] for s, r in got.items()}
+        assert most["plain"] < 0.5 * most["code"]
+        assert most["small"] > most["plain"]  # three rows are judged mostly by their language
+
+
+def test_scaling_a_signal_scales_its_thresholds(spark):
+    rng = np.random.default_rng(6)
+    rows = [("en", "a" if k % 3 else None, *(int(x) for x in rng.integers(100, 300, 4) * (rng.random(4) < 0.9))) for k in range(2000)]
+    once, eight = limits(spark, rows), limits(spark, [(x, y, *(8 * v for v in signals)) for x, y, *signals in rows])
+    for source, row in once.items():
+        for name, value in row.asDict().items():
+            if name not in ("lang", "source"):
+                assert abs(eight[source][name] - 8 * value) <= 8 * quality_rules.FENCES["word_length"][2]
+
+
+def test_a_group_of_copies_rejects_no_neighbouring_values(spark):
+    got = limits(spark, [("en", "a", 0, 0, 0, 500)] * 900 + [("en", "a", 0, 0, 0, 520)] * 100)["a"]
+    assert got.word_length_least <= 480 and 520 <= got.word_length_most and got.symbol_share_most == 0
+
+
+def test_share_of_rows_rejected(spark):
+    folder = "/root/testdata/sf0.1"
+    bad = duckdb.sql(f"SELECT doc_id, quality FROM '{folder}/labels.parquet'").fetchall()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rejected = {r.doc_id for r in quality_rules.judge(docs).where("NOT base_failed AND NOT kept").select("doc_id").collect()}
+    good = [i for i, quality in bad if quality == 1]
+    assert sum(i in rejected for i in good) < 0.02 * len(good)
+    assert 0.05 < len(rejected) / 10000 < 0.12
 
 
 def test_classifier_on_held_out_documents(spark):

@@ -35,9 +35,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def full_catalog() -> Catalog:
-    from rollweave.plans import crossroll, extraction, files, loaded, matching, registries, scalars, searching, spelling, streams
+    from rollweave.plans import crossroll, extraction, files, loaded, matching, registries, scalars, searching, spelling, stored, streams
 
     catalog = Catalog()
-    for module in (scalars, extraction, loaded, searching, registries, streams, crossroll, matching, spelling, files):
+    for module in (scalars, extraction, loaded, searching, registries, streams, crossroll, matching, spelling, files, stored):
         module.register(catalog)
     return catalog
